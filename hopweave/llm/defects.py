@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -64,11 +63,17 @@ _OUTSIDE = re.compile(
     r"please (?:consult|contact|ask|see|refer to|provide|rephrase|try)\b|(?:against|due to|because of|per) (?:my |our |the |company )?(?:policy|policies|guidelines|restrictions))",
     re.I,
 )
+# one plain question and nothing else: no refusal
+_ASKS = re.compile(r"\W*(?:which|what|who|whom|whose|where|when|how|can you|could you)\b[^.!?;:]*\?\W*$", re.I)
 _SORRY = re.compile(r"^\W*(?:i'?m sorry|i am sorry|sorry|my apologies|apologies)\b(?!.*\?\s*$)", re.I | re.S)
 
 
+# characters without width, and control characters other than white space
+_UNSEEN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\ufff9-\ufffb]+")
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t\r")
+    return _UNSEEN.sub("", text)
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -106,7 +111,7 @@ def is_copy(prompt: list[str], response: list[str], lost: int = 2, lead: int = 6
 
 def _foreign(text: str, words: list[str]) -> bool:
     """Not English, going by letters and function words outside quotations, names and placeholders."""
-    letters = [c for c in text if c.isalpha()]
+    letters = [] if text.isascii() else [c for c in text if c.isalpha()]
     if letters and sum(1 for c in letters if ord(c) > 0x24F and not 0x1E00 <= ord(c) <= 0x1EFF) > 0.3 * len(letters):
         return True
     if len(words) < 2:
@@ -135,12 +140,13 @@ def look(prompt: str | None, response: str | None) -> tuple[str | None, str | No
         return None, text
     if prompt is not None and is_copy(_WORD.findall(prompt.lower()), words):
         return "copy", None
-    straight = text.replace("’", "'").replace("‘", "'")
-    plain = _PLACE.sub(" ", _QUOTED.sub(" ", straight))
-    if _REFUSAL.search(plain) or _SORRY.search(plain) or _OUTSIDE.search(plain):
+    plain = text.replace("’", "'").replace("‘", "'")
+    if '"' in plain or not plain.isascii():
+        plain = _QUOTED.sub(" ", plain)
+    plain = _LABEL.sub("", _PLACE.sub(" ", plain))
+    if not _ASKS.match(plain) and (_REFUSAL.search(plain) or _SORRY.search(plain) or _OUTSIDE.search(plain)):
         return "refusal", None
     caseless = text == text.lower() or text == text.upper()
-    plain = _LABEL.sub("", plain)
     bare = plain if caseless else _NAME.sub(" ", _STARTS.sub(lambda m: m.group().lower(), plain))
     if _foreign(bare, _WORD.findall(bare.lower())):
         return "other_language", None
