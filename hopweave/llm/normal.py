@@ -44,7 +44,7 @@ def mended(text: str) -> str:
     return text
 
 
-def plain(text: str | None) -> str:
+def plain(text: str | None, cased: bool = False) -> str:
     """Text without markup, accents, odd encoding and case; words may still have punctuation between."""
     if not text:
         return ""
@@ -59,8 +59,8 @@ def plain(text: str | None) -> str:
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", mended(text)))
         if not text.isascii():
-            text = text.lower().translate(_PLAIN).translate(ALIKE)
-    return _INNER.sub("", text.lower())
+            text = (text if cased else text.lower()).translate(_PLAIN).translate(ALIKE)
+    return _INNER.sub("", text if cased else text.lower())
 
 
 def words(text: str | None) -> list[str]:

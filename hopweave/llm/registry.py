@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_records, queries_text
+from . import queries_overlap, queries_records, queries_text
 
-QUERIES = queries_records.QUERIES | queries_text.QUERIES
-SQL = queries_records.SQL | queries_text.SQL
+QUERIES = queries_overlap.QUERIES | queries_records.QUERIES | queries_text.QUERIES
+SQL = queries_overlap.SQL | queries_records.SQL | queries_text.SQL
