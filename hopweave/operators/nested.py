@@ -60,7 +60,7 @@ def from_examples(examples: DataFrame) -> DataFrame:
     have = set(examples.columns)
 
     def col(name: str, kind: str = "string") -> F.Column:
-        return F.col(f"`{name}`").cast(kind) if name in have else F.lit(None).cast(kind)
+        return (F.col(f"`{name}`").cast(kind) if name in have else F.lit(None).cast(kind)).alias(name)
 
     def hops(p: F.Column) -> F.Column:
         return F.transform(
