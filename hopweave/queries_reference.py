@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .catalogue import graph
+from .catalogue import business, graph
 
-_MODULES = [graph]
+_MODULES = [business, graph]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
