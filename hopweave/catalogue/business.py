@@ -17,24 +17,25 @@ def kg_triples(spark: SparkSession, d: str) -> DataFrame:
     Lines merge where order and line number repeat, so use set semantics.
     """
 
-    def from_table(name: str, head: F.Column, **tails: F.Column) -> DataFrame:
-        pairs = [F.struct(F.lit(k.replace("__", ".")).alias("relation"), v.cast("string").alias("tail")) for k, v in tails.items()]
-        return table(spark, d, name).select(head.alias("head"), F.explode(F.array(*pairs)).alias("p")).select("head", "p.relation", "p.tail")
+    def from_table(name: str, head: F.Column, **tails: F.Column) -> list[DataFrame]:
+        # one branch a relation: a program's filter on the relation leaves one scan of two columns
+        t = table(spark, d, name)
+        return [t.select(head.alias("head"), F.lit(k.replace("__", ".")).alias("relation"), v.cast("string").alias("tail")) for k, v in tails.items()]
 
     ident = lambda p, *c: F.concat(F.lit(f"{p}:"), F.concat_ws("-", *c))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     parts = [
-        from_table("orders", ident("o", "o_orderkey"), order__customer=ident("c", "o_custkey"), order__date=day, order__totalprice=F.col("o_totalprice"), order__status=F.col("o_orderstatus"), order__urgent_day=F.when(F.col("o_orderpriority") == "1-URGENT", day)),
-        from_table("customer", ident("c", "c_custkey"), customer__nation=ident("n", "c_nationkey"), customer__segment=F.col("c_mktsegment"), customer__balance=F.col("c_acctbal")),
-        from_table("supplier", ident("s", "s_suppkey"), supplier__nation=ident("n", "s_nationkey")),
-        from_table("nation", ident("n", "n_nationkey"), nation__region=ident("r", "n_regionkey")),
-        from_table("lineitem", ident("l", "l_orderkey", "l_linenumber"), lineitem__part=ident("p", "l_partkey"), lineitem__supplier=ident("s", "l_suppkey"), lineitem__order=ident("o", "l_orderkey")),
-        from_table("part", ident("p", "p_partkey"), part__size=F.col("p_size"), part__brand=F.col("p_brand")),
+        *from_table("orders", ident("o", "o_orderkey"), order__customer=ident("c", "o_custkey"), order__date=day, order__totalprice=F.col("o_totalprice"), order__status=F.col("o_orderstatus"), order__urgent_day=F.when(F.col("o_orderpriority") == "1-URGENT", day)),
+        *from_table("customer", ident("c", "c_custkey"), customer__nation=ident("n", "c_nationkey"), customer__segment=F.col("c_mktsegment"), customer__balance=F.col("c_acctbal")),
+        *from_table("supplier", ident("s", "s_suppkey"), supplier__nation=ident("n", "s_nationkey")),
+        *from_table("nation", ident("n", "n_nationkey"), nation__region=ident("r", "n_regionkey")),
+        *from_table("lineitem", ident("l", "l_orderkey", "l_linenumber"), lineitem__part=ident("p", "l_partkey"), lineitem__supplier=ident("s", "l_suppkey"), lineitem__order=ident("o", "l_orderkey")),
+        *from_table("part", ident("p", "p_partkey"), part__size=F.col("p_size"), part__brand=F.col("p_brand")),
     ]
     t = parts[0]
     for x in parts[1:]:
         t = t.unionByName(x)
-    return t.where("tail is not null").withColumn("question_id", F.lit("")).select("question_id", "head", "relation", "tail")
+    return t.where("tail is not null")
 
 
 def _conj(spark: SparkSession, d: str, select: str, atoms: list[tuple[str, str, str]], **rest) -> DataFrame:  # noqa: ANN003
@@ -43,7 +44,7 @@ def _conj(spark: SparkSession, d: str, select: str, atoms: list[tuple[str, str,
 
 def region_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders reached from each region by a three-hop backward chain, counted."""
-    t = kg_triples(spark, d)
+    t = kg_triples(spark, d).withColumn("question_id", F.lit(""))
     regions = t.where("relation = 'nation.region'").select("question_id", F.col("tail").alias("node")).distinct()
     got = graph.leaves(graph.edges(t), regions, [("nation.region", "backward"), ("customer.nation", "backward"), ("order.customer", "backward")])
     return got.groupBy("anchor").agg(F.count("*").alias("orders"), F.min("node").alias("first_order"))

@@ -131,6 +131,13 @@ def _clean(triples: DataFrame) -> DataFrame:
     return t.where("head is not null and relation is not null and tail is not null").select("question_id", "head", "relation", "tail").distinct()
 
 
+def _questions(triples: DataFrame, t: DataFrame) -> DataFrame:
+    """The questions whose graphs a program runs in: one nameless question for a global graph."""
+    if "question_id" in triples.columns:
+        return t.select("question_id").distinct()
+    return triples.sparkSession.range(1, numPartitions=1).select(F.lit("").alias("question_id"))
+
+
 def run_conjunctive(triples: DataFrame, program: Conjunctive, topics: DataFrame | None = None) -> Execution:
     """Answers, bindings and identity flag of a program.
 
@@ -140,7 +147,7 @@ def run_conjunctive(triples: DataFrame, program: Conjunctive, topics: DataFrame
     """
     t = _clean(triples)
     # every question starts with one empty binding (one for each topic where topics are given)
-    start = t.select("question_id").distinct() if topics is None else topics.select("question_id", F.col("topic").alias("v_topic")).distinct()
+    start = _questions(triples, t) if topics is None else topics.select("question_id", F.col("topic").alias("v_topic")).distinct()
     keys = start.columns
     plan = schedule(program)
     identity = start.select("question_id").where(F.lit(False))
@@ -198,7 +205,7 @@ def run_chain(triples: DataFrame, program: Chain, topics: DataFrame | None = Non
     The topic is dropped from the answers only after the slice.
     """
     t = _clean(triples)
-    start = t.select("question_id").distinct().withColumn("n0", F.lit(program.topic)) if topics is None else topics.select("question_id", F.col("topic").alias("n0")).distinct()
+    start = _questions(triples, t).withColumn("n0", F.lit(program.topic)) if topics is None else topics.select("question_id", F.col("topic").alias("n0")).distinct()
     b, identity = start, start.select("question_id").where(F.lit(False))
     columns = ["question_id", "n0"]
     for k, (relation, direction) in enumerate(program.hops):
