@@ -87,7 +87,8 @@ def relation_schema(c: Column | str) -> Column:
     slash = F.contains(bare, F.lit("/"))
     parts = F.filter(F.split(bare, F.when(slash, "/").otherwise(r"\.")), lambda x: x != "")
     full = F.size(parts) >= 3
-    rest = F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), F.when(slash, "/").otherwise("."))
+    tail = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
+    rest = F.when(slash, F.array_join(tail, "/")).otherwise(F.array_join(tail, "."))
     return F.struct(F.when(full, F.get(parts, F.lit(0))).alias("domain"), F.when(full, F.get(parts, F.lit(1))).alias("type"), F.when(full, rest).alias("property"), full.alias("complete"))
 
 
@@ -162,29 +163,56 @@ def answerable(answers: Column | str) -> Column:
     return (n > 0) & (F.coalesce(unlabeled_count(answers), F.lit(0)) < n)
 
 
-def ngram_repeats(c: Column | str, width: int, limit: int = 5) -> Column:
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value computed once; inside lambdas a plain expression would be computed anew each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _some_often(items: Column, limit: int) -> Column:
+    """Does some item occur ``limit`` times or more? In sorted order equal items stand ``limit - 1`` apart."""
+
+    def check(c: Column) -> Column:
+        n = F.greatest(F.size(c) - (limit - 1), F.lit(0))
+        return F.exists(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(limit), n), lambda x, y: x == y), lambda x: x)
+
+    return let(F.array_sort(items), check)
+
+
+def _grams(words: Column, width: int) -> Column:
+    """Runs of ``width`` words as texts, by shifting the list against itself."""
+    n = F.greatest(F.size(words) - (width - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), n)
+    for k in range(1, width):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), n), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
+
+
+def ngram_repeats(words: Column, width: int, limit: int = 5) -> Column:
     """Does some run of ``width`` words occur ``limit`` times or more? False for short texts."""
-    w = tokens(c)
-    grams = F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))).otherwise(F.array().cast("array<string>"))
-    counts = F.array_sort(grams)
-    # in sorted order a run of equal grams of the wanted length has the same gram limit-1 places on
-    return F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.size(counts) - limit, F.lit(-1)), F.when(F.size(counts) - limit >= 0, 1).otherwise(-1)), lambda i: (i >= 0) & (F.get(counts, i) == F.get(counts, i + (limit - 1)))), lambda x: F.coalesce(x, F.lit(False)))
+    return _some_often(_grams(words, width), limit)
 
 
 # Words that may repeat.
 STOP_WORDS = ("a", "an", "the", "is", "of", "in", "to", "what", "which", "who")
 
 
-def word_repeats(c: Column | str, limit: int = 7) -> Column:
-    w = F.array_sort(F.filter(tokens(c), lambda x: ~x.isin(*STOP_WORDS)))
-    n = F.size(w) - limit
-    return F.exists(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(-1)), F.when(n >= 0, 1).otherwise(-1)), lambda i: (i >= 0) & (F.get(w, i) == F.get(w, i + (limit - 1)))), lambda x: F.coalesce(x, F.lit(False)))
+def word_repeats(words: Column, limit: int = 7) -> Column:
+    return _some_often(F.filter(words, lambda x: ~x.isin(*STOP_WORDS)), limit)
 
 
 def repetition_reason(c: Column | str) -> Column:
     """First failing repetition rule of a question, or null; under six words nothing fails."""
-    c = _c(c)
-    return F.when(F.size(tokens(c)) < 6, F.lit(None).cast("string")).when(ngram_repeats(c, 3), "repeated_3_gram").when(ngram_repeats(c, 4), "repeated_4_gram").when(ngram_repeats(c, 5), "repeated_5_gram").when(word_repeats(c), "excessive_repeated_content_word")
+
+    def rules(w: Column) -> Column:
+        return (
+            F.when(F.size(w) < 6, F.lit(None).cast("string"))
+            .when(ngram_repeats(w, 3), "repeated_3_gram")
+            .when(ngram_repeats(w, 4), "repeated_4_gram")
+            .when(ngram_repeats(w, 5), "repeated_5_gram")
+            .when(word_repeats(w), "excessive_repeated_content_word")
+        )
+
+    return let(tokens(c), rules)
 
 
 def set_cosine(a: Column, b: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .catalogue import business, graph, metrics
+from .catalogue import building, business, graph, metrics, texts
 
-_MODULES = [business, graph, metrics]
+_MODULES = [business, graph, metrics, texts, building]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
