@@ -150,7 +150,7 @@ SQL = {
         string_split(trim(relation, '/'), CASE WHEN contains(relation, '/') THEN '/' ELSE '.' END) AS s FROM r), z AS (SELECT *, list_filter(s, lambda x: x <> '') AS k FROM q)
         SELECT relation, words, 'inverse of ' || words AS inverse, trim(regexp_replace(replace(replace(replace(relation, '.', ' / '), '_', ' '), '/', ' / '), '\\s+', ' ', 'g')) AS full_words,
         replace(array_to_string(p[greatest(len(p) - 1, 1):len(p)], ' '), '_', ' ') AS short, CASE WHEN len(p) < 2 THEN '' ELSE lower(replace(p[-2], '_', ' ')) END AS hint,
-        CASE WHEN len(k) >= 3 THEN k[1] END AS domain, CASE WHEN len(k) >= 3 THEN k[2] END AS type, CASE WHEN len(k) >= 3 THEN array_to_string(k[3:], CASE WHEN contains(relation, '/') THEN '/' ELSE '.' END) END AS property, len(k) >= 3 AS complete FROM z""",
+        CASE WHEN len(k) >= 3 THEN k[1] END AS domain, CASE WHEN len(k) >= 3 THEN k[2] END AS type, CASE WHEN len(k) >= 3 AND contains(relation, '/') THEN array_to_string(k[3:], '/') WHEN len(k) >= 3 THEN array_to_string(k[3:], '.') END AS property, len(k) >= 3 AS complete FROM z""",
     "metadata_flag": f"WITH {v.TRIPLES}, r AS (SELECT relation FROM t UNION SELECT string_split(relation_key, '::')[-1] FROM relation_glossary) SELECT relation, array_to_string(list_filter({_METADATA}, lambda p: contains(lower(relation), p)), '|') AS patterns, len(list_filter({_METADATA}, lambda p: contains(lower(relation), p))) = 0 AS semantic FROM r",
     "symmetric_by_name": f"""WITH g AS (SELECT DISTINCT relation_key, subject_role, object_role FROM relation_glossary), q AS (SELECT relation_key, {_ROLE.format("string_split(relation_key, '::')[-1]")} AS r, {_ROLE.format('subject_role')} AS s, {_ROLE.format('object_role')} AS o FROM g)
         SELECT relation_key, r IN ({', '.join(f"'{x}'" for x in text.SYMMETRIC_WHOLE)}) OR {' OR '.join(f"contains(r, '{x}')" for x in text.SYMMETRIC_PARTS)} OR (s <> '' AND s = o) AS symmetric FROM q""",

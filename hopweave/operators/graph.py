@@ -131,12 +131,12 @@ def dominant_type(counts: DataFrame, keys: list[str], hint: Column | None = None
     The hint (a column of ``counts``) takes an equal type first, then one that contains it or
     is contained in it, in order of name.
     """
-    top = counts.withColumn("best", F.max("n").over(Window.partitionBy(*keys))).where("n = best")
+    top = counts.withColumn("_best", F.max("n").over(Window.partitionBy(*keys))).where("n = _best")
     h = F.lower(F.coalesce(hint, F.lit(""))) if hint is not None else F.lit("")
     name = F.lower("type")
     rank = F.when((h != "") & (name == h), 0).when((h != "") & (F.contains(name, h) | F.contains(h, name)), 1).otherwise(2)
-    g = top.withColumn("rank", rank).groupBy(*keys).agg(F.count("*").alias("k"), F.min(F.struct("rank", "type")).alias("m"))
-    return g.select(*keys, F.when((F.col("k") == 1) | (F.col("m.rank") < 2), F.col("m.type")).otherwise("entity").alias("type"))
+    g = top.withColumn("_rank", rank).groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct("_rank", "type")).alias("_m"))
+    return g.select(*keys, F.when((F.col("_n") == 1) | (F.col("_m._rank") < 2), F.col("_m.type")).otherwise("entity").alias("type"))
 
 
 def distances(edge: DataFrame, roots: DataFrame, max_steps: int = 100) -> DataFrame:
