@@ -5,7 +5,7 @@ canonical content: a hop from its fields, a path from its fields and the identit
 hops in order, a record from its fields and the identities of its paths. Identical objects
 are stored once; every occurrence is kept by a bridge row naming parent, place and child.
 
-Tables returned by :func:`flatten`:
+Identities are 16 bytes of SHA-256. Tables returned by :func:`flatten`:
 
 ``records(record_id, origin, question, split, kg, record_hash)``
 ``paths(path_hash, anchor, anchor_type, answer_type, kg, negative_type, question, extra, n_hops)``
@@ -48,11 +48,35 @@ _ROLES = {"positive_path": "positive", "alternate_positive_paths": "alternate",
 
 @dataclass
 class FlatTables:
-    records: DataFrame
-    paths: DataFrame
-    hops: DataFrame
-    record_paths: DataFrame
-    path_hops: DataFrame
+    """The linked tables. Bridges come from one narrow stage of identities, contents from the nested form."""
+
+    hashed: DataFrame
+    bridge: DataFrame
+
+    @property
+    def records(self) -> DataFrame:
+        return self.hashed.select("record_id", "origin", "question", "split", "kg", "record_hash").distinct()
+
+    @property
+    def paths(self) -> DataFrame:
+        flat = self.hashed.select(F.explode("paths").alias("p"))
+        one = flat.groupBy(F.col("p.path_hash").alias("path_hash")).agg(F.any_value(F.struct(*[F.col(f"p.{n}").alias(n) for n in _PATH_FIELDS], F.size("p.hops").cast("long").alias("n_hops"))).alias("p"))
+        return one.select("path_hash", "p.*")
+
+    @property
+    def hops(self) -> DataFrame:
+        flat = self.hashed.select(F.explode(F.flatten(F.transform("paths", lambda p: p["hops"]))).alias("h")).where("h is not null")
+        return flat.select("h.hop_hash", *[F.col(f"h.{n}").alias(n) for n in HOP.fieldNames()]).dropDuplicates(["hop_hash"])
+
+    @property
+    def record_paths(self) -> DataFrame:
+        return self.bridge.select("record_id", F.explode("paths").alias("p")).select("record_id", "p.path_role", "p.path_index", "p.path_hash").distinct()
+
+    @property
+    def path_hops(self) -> DataFrame:
+        one = self.bridge.select(F.explode("paths").alias("p")).groupBy(F.col("p.path_hash").alias("path_hash")).agg(F.max("p.hop_hashes").alias("h"))
+        placed = one.select("path_hash", F.posexplode("h").alias("hop_index", "hop_hash")).where("hop_hash is not null")
+        return placed.select("path_hash", F.col("hop_index").cast("long").alias("hop_index"), "hop_hash")
 
 
 def from_examples(examples: DataFrame) -> DataFrame:
@@ -207,15 +231,15 @@ def from_lines(lines: DataFrame, id_col: str = "raw_id", text_col: str = "line_t
 
 def _identity(*cols: F.Column) -> F.Column:
     """Hash of a tuple; null and the empty text differ, and no value can run into the next."""
-    return F.sha2(F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in cols])), 256)
+    return F.substring(F.unhex(F.sha2(F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in cols])), 256)), 1, 16)
 
 
-def flatten(nested: DataFrame, stage: bool = True) -> FlatTables:
-    """Build the five linked tables from the nested form.
+def flatten(nested: DataFrame) -> FlatTables:
+    """Build the linked tables from the nested form.
 
-    One pass computes all identities inside the row (no shuffle); only the object tables and
-    the distinct bridges shuffle, by hash, after partial aggregation. ``stage`` writes that
-    pass as a table so that the five results do not each repeat it.
+    All identities are computed inside the row (no shuffle). Only the identities and places
+    are staged, as 16-byte values; the object tables and the distinct bridges shuffle by
+    identity after partial aggregation.
     """
     with_hops = F.transform(
         "paths",
@@ -227,31 +251,22 @@ def flatten(nested: DataFrame, stage: bool = True) -> FlatTables:
             ),
         ),
     )
-    with_paths = F.transform(
-        "paths",
-        lambda p: p.withField("path_hash", _identity(*[p[n] for n in _PATH_FIELDS], *[F.concat_ws(",", F.transform(p["hops"], lambda h: F.coalesce(h["hop_hash"], F.lit("-"))))])),
-    )
+    hop_list = lambda p: F.concat_ws(",", F.transform(p["hops"], lambda h: F.coalesce(F.hex(h["hop_hash"]), F.lit("-"))))
+    with_paths = F.transform("paths", lambda p: p.withField("path_hash", _identity(*[p[n] for n in _PATH_FIELDS], hop_list(p))))
     record_hash = _identity(
-        F.col("question"), F.col("split"), F.col("kg"), F.concat_ws(",", F.transform("paths", lambda p: F.concat_ws(":", p["path_role"], p["path_index"].cast("string"), p["path_hash"])))
+        F.col("question"), F.col("split"), F.col("kg"), F.concat_ws(",", F.transform("paths", lambda p: F.concat_ws(":", p["path_role"], p["path_index"].cast("string"), F.hex(p["path_hash"]))))
     )
     hashed = nested.withColumn("paths", with_hops).withColumn("paths", with_paths).withColumn("record_hash", record_hash)
-    if stage:
-        hashed = materialize(hashed, "nested")
-    records = hashed.select("record_id", "origin", "question", "split", "kg", "record_hash").distinct()
-    flat = hashed.select("record_id", F.explode("paths").alias("p"))
-    record_paths = flat.select("record_id", "p.path_role", "p.path_index", "p.path_hash").distinct()
-    objects = flat.groupBy(F.col("p.path_hash").alias("path_hash")).agg(F.any_value("p").alias("p"))
-    paths = objects.select("path_hash", *[F.col(f"p.{n}").alias(n) for n in _PATH_FIELDS], F.size("p.hops").cast("long").alias("n_hops"))
-    placed = objects.select("path_hash", F.posexplode("p.hops").alias("hop_index", "h")).where("h is not null")
-    path_hops = placed.select("path_hash", F.col("hop_index").cast("long").alias("hop_index"), F.col("h.hop_hash").alias("hop_hash"))
-    hops = placed.groupBy(F.col("h.hop_hash").alias("hop_hash")).agg(F.any_value("h").alias("h")).select("hop_hash", *[F.col(f"h.{n}").alias(n) for n in HOP.fieldNames()])
-    return FlatTables(records, paths, hops, record_paths, path_hops)
+    narrow = F.transform("paths", lambda p: F.struct(p["path_role"].alias("path_role"), p["path_index"].alias("path_index"), p["path_hash"].alias("path_hash"), F.transform(p["hops"], lambda h: h["hop_hash"]).alias("hop_hashes")))
+    return FlatTables(hashed, materialize(hashed.select("record_id", narrow.alias("paths")), "identities"))
 
 
 def occurrences(t: FlatTables) -> DataFrame:
-    """Every hop occurrence: ``record_id, path_role, path_index, hop_index`` plus the hop's identity.
+    """Every hop occurrence: ``record_id, path_role, path_index, hop_index`` plus the identities.
 
     The join is on the path identity; a path shared by very many records makes one hot key on
     the bridge side only, which adaptive execution splits (the other side has one path's hops).
+    A record delivered twice shows twice here; take distinct rows.
     """
-    return t.record_paths.join(t.path_hops, "path_hash").select("record_id", "path_role", "path_index", "hop_index", "path_hash", "hop_hash")
+    bridge = t.bridge.select("record_id", F.explode("paths").alias("p")).select("record_id", "p.path_role", "p.path_index", "p.path_hash")
+    return bridge.join(t.path_hops, "path_hash").select("record_id", "path_role", "path_index", "hop_index", "path_hash", "hop_hash")

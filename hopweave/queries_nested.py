@@ -9,6 +9,11 @@ from .operators import nested
 from .session import table
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    """Identities as hexadecimal text."""
+    return df.select(*[F.lower(F.hex(c)).alias(c) if c.endswith("_hash") else F.col(c) for c in df.columns])
+
+
 def _tables(spark: SparkSession, d: str) -> nested.FlatTables:
     both = nested.from_examples(table(spark, d, "examples")).unionByName(nested.from_lines(table(spark, d, "raw_examples")))
     return nested.flatten(both)
@@ -19,23 +24,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).records
+    return _shown(_tables(spark, d).records)
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).paths
+    return _shown(_tables(spark, d).paths)
 
 
 def p3_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).hops
+    return _shown(_tables(spark, d).hops)
 
 
 def p3_record_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).record_paths
+    return _shown(_tables(spark, d).record_paths)
 
 
 def p3_path_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).path_hops
+    return _shown(_tables(spark, d).path_hops)
 
 
 def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +52,7 @@ def p3_sharing(spark: SparkSession, d: str) -> DataFrame:
 def p3_example_hops(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences per role and relation over the typed examples (SQL can express this part)."""
     t = nested.flatten(nested.from_examples(table(spark, d, "examples")))
-    o = nested.occurrences(t).join(t.hops.select("hop_hash", "relation"), "hop_hash")
+    o = nested.occurrences(t).distinct().join(t.hops.select("hop_hash", "relation"), "hop_hash")
     return o.groupBy("path_role", "relation").agg(F.count("*").alias("n_hops"), F.countDistinct("record_id").alias("n_records"))
 
 
