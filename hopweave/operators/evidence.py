@@ -55,10 +55,8 @@ def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame, ma
 def comparator_corpus(candidates: DataFrame, keys: list[str], score: str, positive: str, position: str, dev: float = 0.1, seed: str = "17") -> DataFrame:
     """Sampled groups with a positive, and a dev split of ``max(1, round(n * dev))`` groups by hash order."""
     s = ranking.sample_candidates(candidates, keys, score, positive, position, seed=seed)
-    groups = s.select(*keys).distinct().withColumn("_h", ranking.hash_order(seed, *keys))
-    n = groups.count()
-    k = max(1, round(n * dev)) if n else 0
-    chosen = groups.orderBy("_h", *keys).limit(k).select(*keys).withColumn("_dev", F.lit(True))
+    n = s.select(*keys).distinct().count()
+    chosen = ranking.exact_sample(s, keys, max(1, round(n * dev)) if n else 0, seed).withColumn("_dev", F.lit(True))
     return s.join(chosen, keys, "left").withColumn("split", F.when(F.col("_dev"), "dev").otherwise("train")).drop("_dev")
 
 

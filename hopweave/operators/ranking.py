@@ -137,10 +137,11 @@ def sample_candidates(df: DataFrame, keys: list[str], score: str, positive: str,
 def round_robin(df: DataFrame, bucket: list[str], order: list[Column], quota: int) -> DataFrame:
     """``quota`` rows taken in turn from the buckets, one per bucket and round.
 
-    The place of a row is its round, then its bucket's order; rounds are counted, so no
-    bucket is pulled to one task: rows per (round) up to the cut round are summed first.
+    The place of a row is its round, then its bucket's order. Every round gives a row, so a
+    bucket's first ``quota`` rows suffice: they are cut before the shuffle, however hot the
+    bucket, and at most ``quota`` rounds are summed up.
     """
-    r = df.withColumn("round", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)))
+    r = df.withColumn("round", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))).where(F.col("round") <= quota)
     rounds = r.groupBy("round").count()
     before = rounds.select("round", (F.sum("count").over(Window.orderBy("round")) - F.col("count")).alias("before"))
     kept = r.join(before, "round").where(F.col("before") < quota)
@@ -148,6 +149,30 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[Column], quota: in
     return kept.withColumn("place", F.col("before") + F.row_number().over(w)).where(F.col("place") <= quota).drop("before")
 
 
+def exact_sample(df: DataFrame, keys: list[str], n: int, seed: str = "17") -> DataFrame:
+    """Exactly ``n`` distinct key rows (or all), the first in hash order, without a global sort.
+
+    Hashes fall into 4096 ranges; the ranges' counts (4096 rows) tell which are taken whole,
+    and only the range on the cut is ranked.
+    """
+    k = df.select(*keys).distinct().withColumn("_h", hash_order(seed, *keys)).withColumn("_r", F.substring("_h", 1, 3))
+    counts = sorted((r["_r"], r["count"]) for r in k.groupBy("_r").count().collect())
+    whole, cut, left = [], None, n
+    for r, c in counts:
+        if c <= left:
+            whole.append(r)
+            left -= c
+        else:
+            cut = r
+            break
+    last = whole[-1] if whole else ""
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", *keys))
+    taken = k.where(F.col("_r") <= last) if whole else k.where(F.lit(False))
+    if cut is not None and left:
+        taken = taken.unionByName(k.where(F.col("_r") == cut).withColumn("_n", rank).where(F.col("_n") <= left).drop("_n"))
+    return taken.select(*keys)
+
+
 def category_first(df: DataFrame, keys: list[str], category: str, position: str, limit: int) -> DataFrame:
     """First row of each new category, then the rest in order, up to ``limit`` a group."""
     first = F.row_number().over(Window.partitionBy(*keys, category).orderBy(position)) == 1

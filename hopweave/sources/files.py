@@ -35,9 +35,13 @@ def read_keyed_document(spark: SparkSession, path: str, rows: str | None, key: s
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary of a file of names, one a line: ``code, name`` from 0."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("code", "name"))
-    return lines.where("name <> ''").select(F.col("code").cast("long"), "name")
+    """Dictionary of a file of names, one a line: ``code, name`` from 0.
+
+    The code is the line's number over the whole file, which no column expression gives; this
+    is the one place that goes through an RDD, and it reads the file in splits.
+    """
+    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    return spark.createDataFrame(numbered, "code long, name string").where("name <> ''")
 
 
 def decode_graphs(rows: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
