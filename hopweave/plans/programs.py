@@ -128,7 +128,8 @@ def schedule(program: Conjunctive) -> list[tuple[Atom, str]] | None:
 
 def _clean(triples: DataFrame) -> DataFrame:
     t = triples if "question_id" in triples.columns else triples.withColumn("question_id", F.lit(""))
-    return t.where("head is not null and relation is not null and tail is not null").select("question_id", "head", "relation", "tail").distinct()
+    # repeated triples stay: every step makes its bindings distinct, so a shuffle here would be for nothing
+    return t.where("head is not null and relation is not null and tail is not null").select("question_id", "head", "relation", "tail")
 
 
 def _questions(triples: DataFrame, t: DataFrame) -> DataFrame:
