@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import quality, text
 from ..session import table
 from . import views as v
 
@@ -109,11 +109,30 @@ def directed_keys(spark: SparkSession, d: str) -> DataFrame:
     return e.select(k["relation"].alias("relation"), k["direction"].alias("direction")).groupBy("relation", "direction").agg(F.count("*").alias("n"))
 
 
+def question_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Returned items by the first reason that rejects them."""
+    t = table(spark, d, "path_naturalizations").distinct()
+    reason = F.coalesce(quality.item_rejection(v.fold("status"), F.col("question")), F.lit("accepted"))
+    return t.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("items"))
+
+
+def notation_gate(spark: SparkSession, d: str) -> DataFrame:
+    t = v.candidates(spark, d)
+    reason = F.coalesce(quality.notation(F.col("generated_question")), F.lit("accepted"))
+    return t.select(reason.alias("reason"), "negative_type").groupBy("reason", "negative_type").agg(F.count("*").alias("n"))
+
+
+def glossary_gate(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "relation_glossary").distinct()
+    status = quality.glossary_status(F.substring_index("relation_key", "::", -1), F.col("status"), F.col("fact_template"), F.col("confidence"), 0.5)
+    return g.select("relation_key", status.alias("status"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_f1, lexical_cosine, rouge_l, lexical_distribution, repetition_gate, question_repetition, relation_words, metadata_flag, symmetric_by_name, mojibake, delexicalized, delexicalized_fuzzy,
-        normalized_answers, stable_buckets, token_estimates, directed_keys,
+        normalized_answers, stable_buckets, token_estimates, directed_keys, question_gate, notation_gate, glossary_gate,
     )
 }
 
@@ -157,6 +176,13 @@ SQL = {
     "normalized_answers": r"""WITH a AS (SELECT DISTINCT a FROM (SELECT unnest(answers) AS a FROM candidates) WHERE a IS NOT NULL) SELECT a AS answer, trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS normal,
         trim(regexp_replace(a, '\s+', ' ', 'g')) AS spaced, array_to_string(regexp_extract_all(lower(a), '[a-z0-9]+'), ' ') AS words FROM a""",
     "stable_buckets": f"WITH {v.EXAMPLES} SELECT example_id, CAST(('0x' || substr(sha256(example_id), 1, 12)) AS BIGINT) % 10000 AS bucket, CAST(('0x' || substr(sha256(example_id), 1, 8)) AS BIGINT) % 10 AS short_bucket FROM x",
+    "question_gate": f"""WITH t AS (SELECT DISTINCT * FROM path_naturalizations), q AS (SELECT {v.sql_fold('status')} AS s, question, trim(coalesce(question, '')) AS q FROM t)
+        SELECT CASE WHEN s IS NULL AND question IS NULL THEN 'missing_output' WHEN s IS DISTINCT FROM 'valid' THEN 'model_marked_opaque' WHEN (length(q) - length(replace(q, '[ENTITY]', ''))) / 8 <> 1 THEN 'entity_placeholder_count' WHEN NOT q LIKE '%?' THEN 'not_a_question'
+        WHEN {' OR '.join(f"contains(lower(q), '{x}')" for x in quality.PROCEDURAL)} THEN 'procedural_language' ELSE 'accepted' END AS reason, CAST(count(*) AS BIGINT) AS items FROM q GROUP BY 1""",
+    "notation_gate": f"""WITH c AS (SELECT DISTINCT * FROM candidates), q AS (SELECT negative_type, lower(coalesce(generated_question, '')) AS q FROM c)
+        SELECT CASE WHEN regexp_matches(q, '\\bv\\d+\\b') OR contains(q, 'type:') OR contains(q, '(') OR contains(q, ')') THEN 'internal_notation_in_question' WHEN {' OR '.join(f"contains(q, '{x}')" for x in quality.VAGUE)} THEN 'vague_question_wording' ELSE 'accepted' END AS reason, negative_type, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY ALL""",
+    "glossary_gate": f"""WITH g AS (SELECT DISTINCT * FROM relation_glossary), q AS (SELECT *, lower(string_split(relation_key, '::')[-1]) AS r, lower(coalesce(fact_template, '')) AS f FROM g)
+        SELECT relation_key, CASE WHEN len(list_filter({_METADATA}, lambda p: contains(r, p))) > 0 THEN 'metadata' WHEN status IS NULL THEN 'opaque' WHEN status IN ('semantic', 'valid') AND NOT (contains(f, 'subject') AND contains(f, 'object') AND coalesce(confidence, 0) >= 0.5) THEN 'opaque' ELSE status END AS status FROM q""",
     "token_estimates": "SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens, CAST(max(ceil(length(text) / 4)) AS BIGINT) AS most FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "directed_keys": "WITH c AS (SELECT DISTINCT * FROM candidates), e AS (SELECT unnest(relation_sequence) AS key FROM c), k AS (SELECT CASE WHEN regexp_matches(key, '::(forward|backward)$') THEN regexp_replace(key, '::(forward|backward)$', '') END AS relation, CASE WHEN regexp_matches(key, '::(forward|backward)$') THEN regexp_extract(key, '::(forward|backward)$', 1) END AS direction FROM e WHERE key IS NOT NULL) SELECT relation, direction, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ALL",
 }

@@ -39,22 +39,24 @@ def score_one(question: str, gold: list[str], lines: list[str]) -> tuple[float,
     Longer answers and lines match first, each line once; years are cut from dates for "when"
     and "what year" questions; an empty gold answer is contained in anything.
     """
-    q = question.lower()
-    answers = sorted(dict.fromkeys(gold), key=len, reverse=True)
-    if "when" in q or "what year" in q:
-        answers = [a.split("-", 1)[0] if "-" in a and a.split("-", 1)[0].isdigit() else a for a in answers]
-    either = any(k in q for k in EITHER_WAY)
-    within = lambda big, small: _normal(small) in _normal(big)
-    said = lambda line: line.split("ans:")[-1].strip()
-    free, hits = sorted(lines, key=len, reverse=True), 0
-    for a in answers:
-        match = next((x for x in free if within(x, a) or (either and (within(a, said(x)) or within(a, x)))), None)
-        if match is not None:
-            hits += 1
-            free.remove(match)
-    p, r = hits / len(lines) if lines else 0.0, hits / len(answers) if answers else 0.0
-    first = bool(lines) and any(within(lines[0], a) or (either and within(a, said(lines[0]))) for a in answers)
-    return float(first), 2 * p * r / (p + r) if p + r else 0.0, float(not lines)
+    asked = question.lower()
+    loose = any(k in asked for k in EITHER_WAY)
+    dated = any(k in asked for k in ("when", "what year"))
+
+    def wanted(answer: str) -> str:
+        year = re.match(r"(\d+)-", answer) if dated else None
+        return _normal(year.group(1) if year else answer)
+
+    # each line as the normal forms of its whole and of what follows its last mark
+    forms = [(_normal(x), _normal(x.split("ans:")[-1])) for x in lines]
+    fits = lambda form, goal, whole: goal in form[0] or (loose and (form[1] in goal or (whole and form[0] in goal)))
+    goals = [wanted(a) for a in sorted(dict.fromkeys(gold), key=len, reverse=True)]
+    used: set[int] = set()
+    for goal in goals:
+        used.update([i for i in sorted(range(len(lines)), key=lambda k: -len(lines[k])) if i not in used and fits(forms[i], goal, True)][:1])
+    f1 = 2 * len(used) / (len(lines) + len(goals)) if lines and goals else 0.0
+    first = bool(lines) and any(fits(forms[0], goal, False) for goal in goals)
+    return float(first), f1, float(not lines)
 
 
 def score_predictions(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.functions import answers as A
-from hopweave.functions import stats, text
+from hopweave.functions import quality, stats, text
 
 
 def one(spark, value, **columns):
@@ -122,3 +122,17 @@ def test_bootstrap_covers_the_mean(spark):
     rows = [(f"r{i}", rnd.gauss(1.0, 1.0)) for i in range(400)]
     r = stats.bootstrap_interval(spark.createDataFrame(rows, "id string, v double"), "id", "v", samples=300).first()
     assert r["low"] < r["mean"] < r["high"] and 0.12 < r["high"] - r["low"] < 0.28
+
+
+def test_question_gates(spark):
+    form = lambda q: one(spark, quality.question_form(F.col("q")), q=q)
+    assert form("Who made [ENTITY]?") is None
+    assert form("Who made it?") == "entity_placeholder_count" and form("[ENTITY] and [ENTITY]?") == "entity_placeholder_count"
+    assert form("Name [ENTITY].") == "not_a_question" and form("Which node does [ENTITY] traverse?") == "procedural_language"
+    assert one(spark, quality.notation(F.col("q")), q="Is v1 [ENTITY]?") == "internal_notation_in_question"
+    assert one(spark, quality.notation(F.col("q")), q="What is related to [ENTITY]?") == "vague_question_wording"
+    pair = lambda p, n: one(spark, quality.pair_rejection(F.col("p"), F.col("n"), F.lit("cp"), F.lit("Who cn [ENTITY]?"), F.lit("author")), p=p, n=n)
+    assert pair("Who wrote [ENTITY]?", "What did [ENTITY] write?") is None
+    assert pair("Who wrote [ENTITY]?", "who wrote [ENTITY]?") == "directions_have_identical_question"
+    assert pair("Who is a hop from [ENTITY]?", "What did [ENTITY] write?") == "exposes_graph_notation"
+    assert pair("Who wrote [ENTITY]?", "Who cn [ENTITY]?") == "negative_naturalization_fallback"
