@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import stats, text
-from ..operators import audit, corpus, ranking
+from ..operators import audit, corpus, ranking, similarity
 from ..session import table
 from . import views as v
 
@@ -220,13 +220,9 @@ def multiset_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """For each label's first vector the ten nearest by cosine, over all vectors."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    e = table(spark, d, "embeddings").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding", "norm"), "vec_id").alias("q"))  # one query a label
-    j = e.select("vec_id", "embedding", "norm").join(F.broadcast(first.select("label", "q")), F.col("vec_id") != F.col("q.vec_id"))
-    s = j.select("label", "vec_id", F.round(dot(F.col("embedding"), F.col("q.embedding")) / (F.col("norm") * F.col("q.norm")), 6).alias("cosine"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.col("cosine").desc(), "vec_id"))).where("rank <= 10")
+    """The ten nearest by cosine of every vector whose id is divisible by 100, over all vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similarity.cosine_topk(e, e.where("id % 100 = 0"), 10)
 
 
 QUERIES = {
@@ -296,7 +292,7 @@ SQL = {
     "multiset_relations": f"""{_C}, {v.EXAMPLES}, j AS (SELECT c.relation_sequence AS a, list_transform(list_filter(x.positive_path.hops, lambda h: h IS NOT NULL), lambda h: concat_ws('::', h.relation, h.direction)) AS b FROM c JOIN x USING (example_id) WHERE c.relation_sequence IS NOT NULL AND x.positive_path.hops IS NOT NULL),
         k AS (SELECT list_sort(a) = list_sort(b) AS eq, len(list_filter(list_distinct(a), lambda z: len(list_filter(a, lambda y: y = z)) > len(list_filter(b, lambda y: y = z)))) = 0 AS le, len(list_filter(list_distinct(b), lambda z: NOT list_contains(a, z))) AS m FROM j)
         SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (eq) AS BIGINT) AS equal, CAST(count(*) FILTER (le AND NOT eq) AS BIGINT) AS part, CAST(sum(m) AS BIGINT) AS missing FROM k""",
-    "embedding_cosine_topk": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT label, vec_id AS id, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM e) WHERE n = 1),
-        s AS (SELECT q.label, e.vec_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS cosine FROM e JOIN q ON e.vec_id <> q.id)
-        SELECT label, vec_id, cosine, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS n FROM s) WHERE n <= 10""",
+    "embedding_cosine_topk": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e),
+        s AS (SELECT q.id AS query_id, r.id, round(list_dot_product(q.v, r.v) / (q.n * r.n), 6) AS cosine FROM n q JOIN n r ON q.id % 100 = 0 AND q.id <> r.id)
+        SELECT query_id, id, cosine, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM s) WHERE k <= 10""",
 }

@@ -168,12 +168,18 @@ def view_audit(picks: DataFrame, ranks: DataFrame, left: str, right: str) -> Dat
 def matched_pairs(rows: DataFrame, keys: list[str], flag: str, control: str) -> DataFrame:
     """For each flagged row of a group the unflagged one closest in ``control`` (then the larger, then by id).
 
-    ``rows(*keys, id, flag, control)``: ``*keys, id, matched_id, gap``.
+    ``rows(*keys, id, flag, control)``: ``*keys, id, matched_id, gap``. The nearest ones are the
+    neighbours in the order of ``control``, so no pairs are made.
     """
-    a = rows.where(F.col(flag)).select(*keys, "id", F.col(control).alias("_a"))
-    b = rows.where(~F.col(flag)).select(*keys, F.col("id").alias("matched_id"), F.col(control).alias("_b"))
-    j = a.join(b, keys).withColumn("gap", F.abs(F.col("_a") - F.col("_b")))
-    return ranking.keep_first(j, [*keys, "id"], [F.col("gap"), F.col("_b").desc(), F.col("matched_id")]).select(*keys, "id", "matched_id", "gap")
+    free = rows.where(~F.col(flag)).groupBy(*keys, F.col(control).alias("_c")).agg(F.min("id").alias("_id")).withColumn("_flag", F.lit(0))
+    mine = rows.where(F.col(flag)).select(*keys, F.col(control).alias("_c"), F.col("id").alias("_id"), F.lit(1).alias("_flag"))
+    w = Window.partitionBy(*keys).orderBy("_c", "_flag", "_id")
+    other = F.when(F.col("_flag") == 0, F.struct("_c", "_id"))
+    near = mine.unionByName(free.select(*mine.columns)).withColumn("_low", F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_high", F.first(other, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    below, above = F.col("_c") - F.col("_low._c"), F.col("_high._c") - F.col("_c")
+    upper = F.col("_high").isNotNull() & (F.col("_low").isNull() | (above <= below))
+    best = near.where("_flag = 1 and (_low is not null or _high is not null)")
+    return best.select(*keys, F.col("_id").alias("id"), F.when(upper, F.col("_high._id")).otherwise(F.col("_low._id")).alias("matched_id"), F.when(upper, above).otherwise(below).alias("gap"))
 
 
 def flatten_candidates(rows: DataFrame, key: str, candidates: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, deque
 from pyspark.sql import functions as F
 
 from hopweave.functions import text
-from hopweave.operators import audit, corpus, graph, organize, ranking, search
+from hopweave.operators import audit, corpus, graph, organize, ranking, search, similarity
 
 T = "question_id string, head string, relation string, tail string"
 
@@ -199,3 +199,20 @@ def test_walks_are_simple(spark):
     for r in corpus.random_walks(e, anchors, 3).collect():
         assert len(set(r["nodes"])) == 4 == len(r["sequence"]) + 1
     assert text.METADATA_PATTERNS
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=5)], "clash") for i in range(60)] + [(60, None, ""), (61, [], ""), (62, [0.0] * 5, ""), (63, [1.0, None, 1.0, 1.0, 1.0], "")]
+    rows += [(70, rows[3][1], "")]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, cosine string")
+    q = df.where("id % 10 = 0")
+    v = {i: np.array(x, np.float32).astype(float) for i, x, _ in rows if i < 60 or i == 70}
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    want = {(i, k + 1): j for i in v if i % 10 == 0 for k, (_, j) in enumerate(sorted((-cos(v[i], v[j]), j) for j in v if j != i)[:4])}
+    for size in (50_000, 7):
+        got = similarity.cosine_topk(df, q, 4, part_rows=size, block_queries=3).collect()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    assert similarity.cosine_topk(df.limit(0), q, 4).count() == 0 == similarity.cosine_topk(df, q.limit(0), 4).count()
