@@ -272,7 +272,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     cut = (
         F.col("sure")
         | (F.coalesce("in_word", F.lit(False)) & ~F.coalesce("ended", F.lit(False)) & ~F.col("text").rlike(r"\]$"))
-        | (F.col("finished").isNull() & (~caseless | F.col("in_word").isNotNull() | F.col("n_chars").isin(limits or [-1])))
+        | (F.col("finished").isNull() & (~caseless | ~F.col("text").rlike(r"\[[A-Za-z_]+\]") | F.col("in_word").isNotNull() | F.col("n_chars").isin(limits or [-1])))
     )
     keys = ["table_name", "row_key"]
     return first.where("defect is not null").select(*keys, "defect").unionByName(unsure.where(cut).select(*keys, F.lit("truncated").alias("defect"))).groupBy(*keys).agg(F.min("defect").alias("defect"))
