@@ -32,7 +32,7 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, pa
         found = rows.sparkSession.createDataFrame([], out)
     else:
         parts, blocks = -(-n_rows // part_rows), -(-n_queries // block_queries)
-        parts = max(parts, min(n_rows, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        parts = max(parts, min(-(-n_rows // 1_000), 2 * rows.sparkSession.sparkContext.defaultParallelism))
         number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         mine = r.withColumn("part", number("id", parts)).withColumn("block", every(blocks))
