@@ -1,11 +1,12 @@
 """Frequency of every distinct term: dictionary encoding and blockwise count arrays.
 
 Input: one row per record with one array of terms per field. Records are told apart by
-their id; a record delivered several times counts once (of differing deliveries, the
-smallest content). Null records ids, null arrays and null terms hold nothing; the empty
-text is a term. An empty input gives no rows. Extra columns are ignored.
+their id; a row that repeats id and terms counts once, and rows of one id with other terms
+are one record whose occurrences add up. Null record ids, null arrays and null terms hold
+nothing; the empty text is a term. An empty input gives no rows. Extra columns are ignored.
 
-Steps: (1) count terms inside each record; (2) add up per block of records, so that a hot
+Steps: (1) count terms of each record, linear in its terms (partial counts leave a task as
+one row per record and term); (2) add up per block of records, so that a hot
 term leaves a block as one row; (3) build a global integer dictionary by a range sort of
 the distinct terms, ids being the range's offset plus the place in it; (4) encode the block
 counts (a term has at most one row per block, so the join has no hot key) into arrays per
@@ -41,20 +42,17 @@ def dictionary(terms: DataFrame) -> DataFrame:
 def term_counts(records: DataFrame, record_id: str, fields: dict[str, Column], blocks: int = BLOCKS, id_range: int = RANGE) -> tuple[DataFrame, int]:
     """``field_name, term, term_id, occurrences, records`` and the number of distinct records."""
     names = list(fields)
-    one = records.where(F.col(record_id).isNotNull()).groupBy(F.col(record_id).alias("record_id")).agg(F.min(F.struct(*[fields[n].alias(n) for n in names])).alias("c"))
 
     def paired(name: str) -> Column:
-        terms = F.coalesce(F.col(f"c.`{name}`"), F.array().cast("array<string>"))
+        terms = F.coalesce(F.col(f"`{name}`"), F.array().cast("array<string>"))
         return F.transform(terms, lambda t: F.struct(F.lit(name).alias("field_name"), t.alias("term")))
 
-    pairs = F.concat(*map(paired, names))
-    kept = materialize(one.select("record_id", F.filter(pairs, lambda x: x["term"].isNotNull()).alias("x")), "terms")
-    total = kept.count()
-    per_record = (
-        kept.select(F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array_distinct("x")).alias("t"), "x")
-        .select("block", "t.field_name", "t.term", F.size(F.filter("x", lambda y: y == F.col("t"))).alias("n"))
-    )
-    block_counts = materialize(per_record.groupBy("block", "field_name", "term").agg(F.sum("n").cast("long").alias("occurrences"), F.count("*").alias("records")), "block-counts")
+    listed = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), *[fields[n].alias(n) for n in names])
+    kept = materialize(listed.select("record_id", F.filter(F.concat(*map(paired, names)), lambda x: x["term"].isNotNull()).alias("x")).distinct(), "terms")
+    total = kept.select("record_id").distinct().count()
+    per_record = kept.select("record_id", F.explode("x").alias("t")).groupBy("record_id", "t.field_name", "t.term").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int").alias("block")
+    block_counts = materialize(per_record.groupBy(block, "field_name", "term").agg(F.sum("n").cast("long").alias("occurrences"), F.count("*").alias("records")), "block-counts")
     ids = materialize(dictionary(block_counts.select("field_name", "term")), "dictionary-ids")
     coded = block_counts.join(ids, ["field_name", "term"]).select("block", "term_id", "occurrences", "records")
     span = F.col("term_id").cast("long")
