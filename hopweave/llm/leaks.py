@@ -7,11 +7,12 @@ fingerprint. Twenty words with two altered have an unaltered run of at least six
 ``K = 5`` and ``WINDOW = 2`` every wanted case is met. Hits are extended word by word over
 altered, added and lacking words, and the best stretch is measured.
 
-The evaluation side goes to the workers only while its fingerprints number at most
-``MAX_SHIPPED`` (a proven bound on their memory); beyond that both sides' fingerprints are
-joined by hash and the candidate pairs' texts are brought together. Both ways give the same
-rows. A stretch counts from ``least`` words with at most one in ``per_altered`` altered; words
-at its rim count as altered where the item goes on.
+The evaluation side is cut into shards of at most about ``SHARD_FINGERPRINTS`` fingerprints in
+the shared folder; workers keep the shards they read (see ``shards``), and every text passes
+every shard. The work is linear in the texts for each shard, whatever grams are common: a
+gram that stands in every text only adds hits inside the text at hand. A stretch counts from
+``least`` words with at most one in ``per_altered`` altered; words at its rim count as altered
+where the item goes on. Items of equal words are searched once.
 
 Null or empty texts hold nothing; texts of any length are read whole; repeated rows count
 once; extra columns are ignored; an empty side gives no rows.
@@ -25,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import normal
+from . import normal, shards
 
 K = 5
 WINDOW = 2
-MAX_SHIPPED = 2_000_000
+SHARD_FINGERPRINTS = 1_000_000
+CHUNK_CHARS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -130,7 +132,11 @@ class _Index:
     """Folded evaluation items with their kept fingerprints."""
 
     def __init__(self, ids: list, texts: list[list[str]]) -> None:
-        self.ids, self.texts = ids, texts
+        same: dict[tuple, list] = {}
+        for i, t in zip(ids, texts, strict=True):
+            same.setdefault(tuple(t), []).append(i)
+        self.ids, texts = list(same.values()), [list(t) for t in same]
+        self.texts = texts
         vocabulary = sorted({w for t in texts for w in t})
         self.code = {w: i + 1 for i, w in enumerate(vocabulary)}
         hashes = np.array([0, *map(word_hash, vocabulary)], np.uint64)
@@ -163,8 +169,7 @@ class _Index:
         return out
 
 
-def _leaks(index: _Index, text: str | None, least: int, per_altered: int) -> list[tuple[object, int, int]]:
-    doc = normal.words(text)
+def _leaks(index: _Index, doc: list[str], least: int, per_altered: int) -> list[tuple[object, int, int]]:
     if len(doc) < K:
         return []
     get = index.code.get
@@ -176,81 +181,56 @@ def _leaks(index: _Index, text: str | None, least: int, per_altered: int) -> lis
     for n, hits in by.items():
         words, altered = best_stretch(doc, index.texts[n], hits, per_altered)
         if words >= least:
-            out.append((index.ids[n], words, altered))
+            out += [(i, words, altered) for i in index.ids[n]]
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: int = 20, per_altered: int = 10, max_shipped: int = MAX_SHIPPED) -> DataFrame:
+def _build(found: list[dict]) -> _Index:
+    return _Index([r["item_id"] for r in found], [normal.words(r["text"]) for r in found])
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, least: int = 20, per_altered: int = 10, shard_fingerprints: int = SHARD_FINGERPRINTS) -> DataFrame:
     """``doc_id, item_id, n_words, n_altered`` of documents that hold a passage of an item.
 
     ``docs`` has ``doc_id, text``; ``items`` has ``item_id, text``.
     """
-    items = items.select("item_id", "text").where("text is not null").distinct()
-    docs = docs.select("doc_id", "text").where("text is not null")
-    # a fingerprint needs at least one letter and a gap for each word, so characters bound their number
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars // 2 > max_shipped:
-        return _joined(docs, items, least, per_altered)
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = items.collect()
-    shipped = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [normal.words(r["text"]) for r in rows]))
+    items = items.select("item_id", "text").where("text is not null").distinct()
+    docs = docs.select("doc_id", "text").where("text is not null")
+    # a fingerprint needs at least one letter and a gap for each word, so characters bound their number
+    chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    count = max(1, -(-chars // (2 * shard_fingerprints)))
+    folder = shards.store(items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")).repartition("shard"), "items")
     schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"], T.StructField("n_words", T.IntegerType()), T.StructField("n_altered", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(*shipped.value)
-        for b in batches:
-            found = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in _leaks(index, t, least, per_altered)]
+    def passed(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        folded = [normal.words(t) for t in texts]
+        for n in range(count):
+            index = shards.load(folder, n, _build)
+            found = [(i, *x) for i, t in zip(ids, folded, strict=True) for x in _leaks(index, t, least, per_altered)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= (CHUNK_CHARS if count > 1 else 1_000_000):
+                    yield from passed(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from passed(ids, texts)
+
     return _strongest(docs.mapInArrow(run, schema))
 
 
 def _strongest(found: DataFrame) -> DataFrame:
     best = F.max(F.struct("n_words", (-F.col("n_altered")).alias("kept"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_words").alias("n_words"), (-F.col("b.kept")).alias("n_altered"))
-
-
-def fingerprints(texts: DataFrame, key: str) -> DataFrame:
-    """``key, h, place``: every kept fingerprint of every text."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    schema = T.StructType([texts.schema[key], T.StructField("h", T.LongType()), T.StructField("place", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                w = normal.words(t)
-                g = grams(np.array([word_hash(x) for x in w], np.uint64))
-                at = winnow(g)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(i, len(at)), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int32))], names=[key, "h", "place"])
-
-    return texts.select(key, "text").mapInArrow(run, schema)
-
-
-def _joined(docs: DataFrame, items: DataFrame, least: int, per_altered: int) -> DataFrame:
-    """The way without a bound on the items: join fingerprints, then bring the pairs' texts together."""
-    import pandas as pd
-
-    mine = fingerprints(items, "item_id").select("item_id", "h", F.col("place").alias("j"))
-    theirs = fingerprints(docs, "doc_id").select("doc_id", "h", F.col("place").alias("i"))
-    hits = theirs.join(mine, "h").groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("i", "j")).alias("hits"))
-    pairs = hits.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for d, q, h, t, u in zip(p["doc_id"], p["item_id"], p["hits"], p["text"], p["item_text"], strict=True):
-                n, altered = best_stretch(normal.words(t), normal.words(u), [(x["i"], x["j"]) for x in h], per_altered)
-                if n >= least:
-                    rows.append((d, q, n, altered))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_altered"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_words int, n_altered int"
-    return _strongest(pairs.select("doc_id", "item_id", "hits", "text", "item_text").mapInPandas(verify, schema))

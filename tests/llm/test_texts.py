@@ -56,18 +56,29 @@ def leak_rows(rnd):
     return docs, items, want
 
 
-def test_leaks_both_ways(spark):
+def test_leaks_in_one_shard_and_in_many(spark):
     docs, items, want = leak_rows(random.Random(4))
     extra = [(900, None, "x"), (901, "", "x"), (902, "short", "x"), (0, docs[0][1], "clash"), (903, "noise " * 30_000 + items[3][1], "x")]
     d = spark.createDataFrame(docs + extra, "doc_id long, text string, item_id string")
     i = spark.createDataFrame([*items, (77, None), (78, "")], "item_id long, text string")
-    for bound in (leaks.MAX_SHIPPED, 0):
-        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, i, max_shipped=bound).collect()}
+    for bound in (leaks.SHARD_FINGERPRINTS, 300):
+        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, i, shard_fingerprints=bound).collect()}
         assert got == want | {(903, 3)}
     assert leaks.find_leaks(d.limit(0), i).count() == 0
     assert leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_with_a_gram_in_every_text(spark):
+    rnd = random.Random(8)
+    boiler = " all rights reserved by the owner of this page "
+    items = [(n, boiler + " ".join(prose(rnd, 24))) for n in range(60)]
+    items += [(100, items[0][1].upper())]  # equal words under another id
+    docs = [(n, boiler + " ".join(prose(rnd, 30)) + boiler) for n in range(300)] + [(1000, boiler + items[0][1] + boiler)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (leaks.SHARD_FINGERPRINTS, 200):
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, i, shard_fingerprints=bound).collect()} == {(1000, 0), (1000, 100)}
+
+
 def test_split_text_properties():
     rnd = random.Random(2)
     e = tokens.encoder()
