@@ -25,18 +25,28 @@ def _vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return clean(relations), clean(types)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(_records(spark, d), *_vocabulary(spark, d))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).where("id_a <> id_b").distinct()
+    pairs = overlap.expanded(*overlap.overlaps(_records(spark, d), *_vocabulary(spark, d)))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).where("id_a <> id_b").distinct()
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps counted for each evaluation split and knowledge graph."""
-    of = _records(spark, d).where("side <> 'train'").select(F.col("id").alias("eval_id"), "side", "kg").distinct()
-    return _pairs(spark, d).join(of, "eval_id").groupBy("side", "kg").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"))
+    """Overlaps counted for each evaluation split and knowledge graph, from text pairs and their copies.
+
+    ``pairs`` counts pairs of a training and an evaluation record with their texts, without writing them out.
+    """
+    records = _records(spark, d)
+    pairs, members = overlap.overlaps(records, *_vocabulary(spark, d))
+    of = records.where("side <> 'train'").select("id", "side", "kg").distinct()
+    evals = members.where("not train").join(of, "id")
+    grouped = evals.groupBy(F.col("key").alias("eval_key"), "side", "kg").agg(F.count("*").alias("n_eval"))
+    trains = members.where("train").groupBy(F.col("key").alias("train_key")).agg(F.count("*").alias("n_train"))
+    met = pairs.join(grouped, "eval_key").join(trains, "train_key")
+    n = met.groupBy("side", "kg").agg(F.sum(F.col("n_eval") * F.col("n_train")).alias("pairs"))
+    who = pairs.select("eval_key").distinct().join(evals.withColumnRenamed("key", "eval_key"), "eval_key").groupBy("side", "kg").agg(F.countDistinct("id").alias("eval_records"))
+    whom = met.select("train_key", "side", "kg").distinct().join(members.where("train").withColumnRenamed("key", "train_key"), "train_key").groupBy("side", "kg").agg(F.countDistinct("id").alias("train_records"))
+    on = lambda x: F.col("n.side").eqNullSafe(F.col(f"{x}.side")) & F.col("n.kg").eqNullSafe(F.col(f"{x}.kg"))
+    return n.alias("n").join(who.alias("w"), on("w")).join(whom.alias("t"), on("t")).select("n.side", "n.kg", "pairs", "eval_records", "train_records")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts)}
