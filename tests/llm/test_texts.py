@@ -1,8 +1,9 @@
+import os
 import random
 
 import pytest
 
-from hopweave.llm import defects, leaks, mixing, normal, splitting, tokens
+from hopweave.llm import defects, leaks, mixing, normal, queries_text, splitting, tokens
 
 WORDS = [f"word{i}" for i in range(400)]
 
@@ -193,9 +194,11 @@ def test_truncation_needs_all_responses(spark):
 
 
 def test_neighbours_across_partitions(spark):
-    texts = [f"{c}{'x' * n}" for c in "abcdefghijkl" for n in range(1, 4)]
-    got = {(r["text"], r["goes_on"]) for r in defects.shortened(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")).collect()}
-    assert got == {(t, "x") for t in texts if len(t) < 4}
+    forms = [f"{c}{'x' * n}" for c in "abcdefghijkl" for n in range(1, 4)] + ["z", "z y"]
+    df = spark.createDataFrame([(t, t == "z", t != "bx") for t in forms] + [(None, True, True)], "form string, finished boolean, opened boolean")
+    got = {(r["form"], r["finished"], r["goes_on"]) for r in defects.neighbours(df).collect()}
+    assert got == {(t, t == "z", " " if t == "z" else "x" if len(t) < 4 and t != "z y" else None) for t in forms if t != "bx"}
+    assert defects.neighbours(df.limit(0)).count() == 0
 
 
 def test_null_prompt_and_long_text():
@@ -204,6 +207,41 @@ def test_null_prompt_and_long_text():
 
 
 def test_length_limits(spark):
-    rows = [(n,) for n in range(30, 60) for _ in range(2)] + [(45,)] * 60
-    df = spark.createDataFrame(rows, "n_chars int")
-    assert defects.length_limits(df, df) == [45]
+    rows = [(n,) for n in range(30, 60) for _ in range(2)] + [(45,)] * 60 + [(200_000,)] * 40
+    assert sorted(r[0] for r in defects.length_limits(spark.createDataFrame(rows, "n_chars int")).collect()) == [45, 200_000]
+
+
+def test_responses_cut_at_a_limit(spark):
+    """Responses of very great length that all end at one limit, some of them at what looks like an end."""
+    rnd = random.Random(4)
+    rows, want = [], set()
+    for i in range(60):
+        text = ("Which " + " ".join(rnd.choice(["person", "river", "court", "owner"]) + f" of the old{rnd.randint(0, 9**9)} thing" for _ in range(7000)))[:150_000]
+        if i % 6 == 0:
+            text = text[:-9] + " ab thing"
+        rows.append(("t", i, None, text))
+        want.add(i)
+    rows += [("t", 100 + i, None, f"Which {w} was the thing of the old ab thing?") for i, w in enumerate(["river", "court"])]
+    got = defects.find_defects(spark.createDataFrame(rows, "table_name string, row_key long, prompt string, response string")).collect()
+    assert {r["row_key"] for r in got} == want and {r["defect"] for r in got} == {"truncated"} and "limit" in {r["evidence"] for r in got}
+
+
+@pytest.mark.parametrize(
+    ("prompt", "response", "defect"),
+    [
+        ("Which animal is it?", "blue whale", None),
+        ("Which colour is it?", "deep sea green paint", None),
+        ("Why is that?", "I do not eat meat because of my health.", None),
+        ("Name it", "Name it", "copy"),
+        ("Wer ist der Hafenmeister von Kiel?", "Das ist der Mann, der nach dem Hafen benannt wurde.", None),
+    ],
+)
+def test_plain_answers_are_sound(prompt, response, defect):
+    assert defects.look(prompt, response, like_prompt=True)[0] == defect
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
+def test_most_cut_responses_are_found_by_their_neighbours(spark):
+    found = defects.find_defects(queries_text._responses(spark, "/root/testdata/sf0.1")).where("defect = 'truncated'")
+    n = {r["evidence"]: r["count"] for r in found.groupBy("evidence").count().collect()}
+    assert n["neighbour"] > n["ending"] and sum(n.values()) > 1000
