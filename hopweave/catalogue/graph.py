@@ -49,7 +49,7 @@ def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def path_provenance(spark: SparkSession, d: str) -> DataFrame:
     """Facts that two-hop families use, counted per question and length."""
     e, p = _sequences(spark, d)
-    m = graph.materialize_paths(e, p, 2)
+    m = graph.materialize_paths(e, p)
     return m.select("question_id", F.size("sequence").alias("hops"), F.explode("facts").alias("fact")).groupBy("question_id", "hops").agg(F.countDistinct("fact").alias("facts"), F.count("*").alias("uses"))
 
 
@@ -60,7 +60,7 @@ def strict_reduction(spark: SparkSession, d: str) -> DataFrame:
     a = v.topics(spark, d)
     one = a.select("question_id", F.col("node").alias("src")).join(e, ["question_id", "src"]).select("question_id", F.col("src").alias("anchor"), F.concat_ws("::", "relation", "direction").alias("k1"), "dst")
     two = one.withColumnRenamed("dst", "src").join(e, ["question_id", "src"]).select("question_id", "anchor", F.array("k1", F.concat_ws("::", "relation", "direction")).alias("sequence")).distinct()
-    r = graph.strict_reduce(e, two.withColumn("path_id", F.concat_ws("|", "anchor", _JOIN("sequence"))), 2)
+    r = graph.strict_reduce(e, two.withColumn("path_id", F.concat_ws("|", "anchor", _JOIN("sequence"))))
     return r.groupBy("question_id").agg(F.count("*").alias("walks"), F.count_if(F.size("reduced") < 2).alias("reducible"), F.count_if(F.size("reduced") == 0).alias("no_ops"))
 
 
@@ -127,7 +127,7 @@ def graph_answer_availability(spark: SparkSession, d: str) -> DataFrame:
 def batched_programs(spark: SparkSession, d: str) -> DataFrame:
     """Every two-hop family run as a program of its question, all in one plan."""
     _, p = _sequences(spark, d)
-    got = programs.run_programs(v.triples(spark, d), p.select("question_id", F.col("path_id").alias("program_id"), F.col("anchor").alias("topic"), "sequence"), 2)
+    got = programs.run_programs(v.triples(spark, d), p.select("question_id", F.col("path_id").alias("program_id"), F.col("anchor").alias("topic"), "sequence"))
     return got.groupBy("question_id").agg(F.count("*").alias("programs"), F.sum(F.size("answers")).alias("answers"), F.count_if("identity").alias("identity"))
 
 

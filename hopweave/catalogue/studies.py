@@ -84,12 +84,12 @@ def _walks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def identity_populations(spark: SparkSession, d: str) -> DataFrame:
     e, c = _walks(spark, d)
-    return evidence.identity_audit(e, c, v.topics(spark, d), 2)[0]
+    return evidence.identity_audit(e, c, v.topics(spark, d))[0]
 
 
 def identity_path_match(spark: SparkSession, d: str) -> DataFrame:
     e, c = _walks(spark, d)
-    return evidence.identity_audit(e, c, v.topics(spark, d), 2)[1]
+    return evidence.identity_audit(e, c, v.topics(spark, d))[1]
 
 
 def comparator_corpus(spark: SparkSession, d: str) -> DataFrame:

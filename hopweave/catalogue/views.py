@@ -19,9 +19,14 @@ def sql_fold(c: str) -> str:
     return f"regexp_replace(lower(trim({c}, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), '^ns:', '')"
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row per key; of rows that differ, the one with the smallest hash of its content, on every run the same."""
+    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_r")).select("_r.*")
+
+
 def graphs(spark: SparkSession, d: str) -> DataFrame:
     """One row per released question graph (rows delivered twice count once)."""
-    g = table(spark, d, "question_graphs").dropDuplicates(["question_id"])
+    g = one_each(table(spark, d, "question_graphs"), "question_id")
     return g.withColumn("triples", F.transform("triples", lambda t: F.when(t.isNotNull(), t.withField("relation", fold(t["relation"])))))
 
 
@@ -40,11 +45,11 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Distinct candidates; a missing retrieval score is 0, other nulls stay."""
-    return table(spark, d, "candidates").dropDuplicates(["candidate_id"])
+    return one_each(table(spark, d, "candidates"), "candidate_id")
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "examples").dropDuplicates(["example_id"])
+    return one_each(table(spark, d, "examples"), "example_id")
 
 
 TRIPLES = f"""t AS (SELECT DISTINCT question_id, t.head AS head, {sql_fold('t.relation')} AS relation, t.tail AS tail

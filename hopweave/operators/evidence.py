@@ -21,18 +21,18 @@ def relation_evidence(hops: DataFrame, triples: DataFrame, most: int = 4) -> Dat
     return used.join(shown, "relation", "left").select("relation", "type_pairs", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"))
 
 
-def rebuild_paths(edge: DataFrame, candidates: DataFrame, anchors: DataFrame, max_hops: int) -> DataFrame:
+def rebuild_paths(edge: DataFrame, candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Candidates' sequences run again from each anchor; the first anchor with answers is taken.
 
     ``candidates(question_id, candidate_index, sequence)``, ``anchors(question_id, position, node)``.
     """
     p = candidates.join(anchors, "question_id").select("question_id", F.concat_ws("|", "candidate_index", "position").alias("path_id"), F.col("node").alias("anchor"), "sequence", "candidate_index", "position")
-    m = graph.materialize_paths(edge, p.select("question_id", "path_id", "anchor", "sequence"), max_hops)
+    m = graph.materialize_paths(edge, p.select("question_id", "path_id", "anchor", "sequence"))
     j = m.join(p.select("question_id", "path_id", "candidate_index", "position"), ["question_id", "path_id"]).where(F.size("answers") > 0)
     return ranking.keep_first(j, ["question_id", "candidate_index"], [F.col("position")]).select("question_id", "candidate_index", "anchor", "answers", "facts")
 
 
-def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
+def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reducible candidates per label population, and picks that match gold exactly or only once reduced.
 
     ``candidates(question_id, candidate_index, sequence, score, annotated, denotation)``; only
@@ -41,7 +41,7 @@ def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame, ma
     single = topics.groupBy("question_id").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).where("n = 1").select("question_id", "anchor")
     c = candidates.join(single, "question_id")
     p = c.select("question_id", F.col("candidate_index").cast("string").alias("path_id"), "anchor", "sequence")
-    r = graph.strict_reduce(edge, p, max_hops).select("question_id", F.col("path_id").cast("int").alias("candidate_index"), F.array_join("reduced", "|").alias("reduced"), F.array_join("sequence", "|").alias("whole"))
+    r = graph.strict_reduce(edge, p).select("question_id", F.col("path_id").cast("int").alias("candidate_index"), F.array_join("reduced", "|").alias("reduced"), F.array_join("sequence", "|").alias("whole"))
     j = c.drop("sequence").join(r, ["question_id", "candidate_index"])
     member = F.array_compact(F.array(F.lit("all"), F.when(F.col("annotated"), "annotated_positive"), F.when(F.col("denotation"), "denotation_positive"), F.when(F.col("denotation") & ~F.col("annotated"), "denotation_only_positive")))
     populations = j.select(F.explode(member).alias("population"), (F.col("reduced") != F.col("whole")).alias("reducible")).groupBy("population").agg(F.count("*").alias("n"), F.count_if("reducible").alias("reducible"))

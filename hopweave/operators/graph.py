@@ -76,29 +76,40 @@ def path_families(edge: DataFrame, anchors: DataFrame, max_hops: int = 2) -> Dat
     return p.groupBy("question_id", "anchor", "sequence").agg(F.array_sort(F.collect_set(F.element_at("nodes", -1))).alias("answers"), F.count("*").alias("n_paths"))
 
 
-def frontiers(edge: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
+def stage_paths(paths: DataFrame) -> tuple[DataFrame, int]:
+    """``question_id, path_id, anchor, sequence`` written once, and the length of the longest sequence."""
+    p = materialize(paths.select("question_id", "path_id", "anchor", "sequence"), "paths")
+    return p, p.agg(F.max(F.size("sequence"))).first()[0] or 0
+
+
+def frontiers(edge: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
     """Frontier of each hop of many sequences at once, with the triples used.
 
     ``paths(question_id, path_id, anchor, sequence)`` (keys ``relation::direction``) gives
-    ``question_id, path_id, step, node, src``; step 0 is the anchor.
+    ``question_id, path_id, step, node, src``; step 0 is the anchor. ``longest`` is the length of
+    the longest sequence, as :func:`stage_paths` gives it. The frontier is written out every
+    fourth hop, so long sequences do not make a deep plan.
     """
     step = edge.select("question_id", "src", text.directed("relation", "direction").alias("key"), "dst")
     front = paths.select("question_id", "path_id", "sequence", F.col("anchor").alias("node"))
     out = front.select("question_id", "path_id", F.lit(0).alias("step"), "node", F.lit(None).cast("string").alias("src"))
-    for k in range(max_hops):
+    for k in range(longest):
         now = front.where(F.size("sequence") > k).select("question_id", "path_id", "sequence", F.col("node").alias("src"), F.get("sequence", F.lit(k)).alias("key"))
         reached = now.join(step, ["question_id", "src", "key"])
+        if k % 4 == 3:
+            reached = materialize(reached, "reached")
         out = out.unionByName(reached.select("question_id", "path_id", F.lit(k + 1).alias("step"), F.col("dst").alias("node"), "src"))
         front = reached.select("question_id", "path_id", "sequence", F.col("dst").alias("node")).distinct()
     return out
 
 
-def materialize_paths(edge: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
-    """Answers and used triples of sequences: ``question_id, path_id, answers, facts``.
+def materialize_paths(edge: DataFrame, paths: DataFrame) -> DataFrame:
+    """Answers and used triples of sequences of any length: ``question_id, path_id, answers, facts``.
 
     Facts are in the orientation of the data: ``head<TAB>relation<TAB>tail``, sorted.
     """
-    f = frontiers(edge, paths, max_hops)
+    paths, longest = stage_paths(paths)
+    f = frontiers(edge, paths, longest)
     keyed = f.where("step > 0").join(paths.select("question_id", "path_id", "sequence"), ["question_id", "path_id"])
     key = text.undirected(F.element_at("sequence", F.col("step")))
     forward = key["direction"] == "forward"
@@ -110,12 +121,13 @@ def materialize_paths(edge: DataFrame, paths: DataFrame, max_hops: int) -> DataF
     )
 
 
-def strict_reduce(edge: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
+def strict_reduce(edge: DataFrame, paths: DataFrame) -> DataFrame:
     """Sequences without the hops that leave the frontier as it was.
 
     From the hop whose frontier is empty on, all hops are kept.
     """
-    f = frontiers(edge, paths, max_hops)
+    paths, longest = stage_paths(paths)
+    f = frontiers(edge, paths, longest)
     sets = f.groupBy("question_id", "path_id", "step").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     by = sets.groupBy("question_id", "path_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "nodes"))).alias("front"))
     joined = paths.join(by, ["question_id", "path_id"], "left")
@@ -139,41 +151,56 @@ def dominant_type(counts: DataFrame, keys: list[str], hint: Column | None = None
     return g.select(*keys, F.when((F.col("_n") == 1) | (F.col("_m._rank") < 2), F.col("_m.type")).otherwise("entity").alias("type"))
 
 
-def distances(edge: DataFrame, roots: DataFrame, max_steps: int = 100) -> DataFrame:
+def _placed(edge: DataFrame) -> DataFrame:
+    """Distinct steps, laid out by (question, source) once for all rounds of an iteration; unpersist when done.
+
+    The lineage is one stage table, so a lost executor costs its part of the layout.
+    """
+    n = int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(edge.select("question_id", "src", "dst").where("src <> dst").distinct(), "steps").repartition(n, "question_id", "src").persist()
+
+
+def distances(edge: DataFrame, roots: DataFrame) -> DataFrame:
     """Undirected hop counts from each root: ``question_id, root, node, distance``.
 
-    Breadth first; a round joins only the newest frontier and drops nodes already seen.
-    Rounds end when nothing new is reached; each is written out, so the plan does not grow.
+    Breadth first until nothing new is reached. A step from a node at distance d leads to
+    d - 1, d or d + 1, so a round only drops the nodes of the last two rounds. Each round is
+    written out, so the plan does not grow.
     """
-    step = materialize(edge.select("question_id", "src", "dst").where("src <> dst").distinct(), "steps")
+    step = _placed(edge)
     front = materialize(roots.select("question_id", F.col("node").alias("root"), "node").distinct().withColumn("distance", F.lit(0)), "front")
-    seen = front
-    for d in range(1, max_steps + 1):
-        new = front.withColumnRenamed("node", "src").join(step, ["question_id", "src"]).select("question_id", "root", F.col("dst").alias("node")).distinct().join(seen, ["question_id", "root", "node"], "left_anti").withColumn("distance", F.lit(d))
-        front = materialize(new, "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    seen, before = front, None
+    while True:
+        known = front if before is None else front.unionByName(before)
+        reached = front.select("question_id", "root", F.col("node").alias("src"), (F.col("distance") + 1).alias("distance")).join(step, ["question_id", "src"]).select("question_id", "root", F.col("dst").alias("node"), "distance").distinct()
+        new = materialize(reached.join(known.select("question_id", "root", "node"), ["question_id", "root", "node"], "left_anti"), "front")
+        if new.isEmpty():
+            step.unpersist()
+            return seen
+        seen, before, front = seen.unionByName(new), front, new
 
 
 def components(edge: DataFrame) -> DataFrame:
     """Connected components inside each question: ``question_id, node, component`` (its smallest node).
 
-    Smallest labels spread along edges, and each label's own label is taken on the way, so the
-    number of rounds follows the logarithm of the longest chain.
+    Smallest labels spread along edges from the nodes whose label changed in the last round
+    only; a changed node then takes its new label's own label, so the number of rounds follows
+    the logarithm of the longest chain.
     """
-    step = materialize(edge.select("question_id", "src", "dst").distinct(), "steps")
-    label = materialize(step.select("question_id", F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    step = _placed(edge)
+    alone = edge.where("src = dst").select("question_id", F.col("src").alias("node"))
+    label = materialize(step.select("question_id", F.col("src").alias("node")).union(alone).distinct().select("question_id", "node", F.col("node").alias("label"), F.lit(True).alias("changed")), "labels")
     while True:
-        spread = step.join(label.withColumnRenamed("node", "src"), ["question_id", "src"]).select("question_id", F.col("dst").alias("node"), "label")
-        least = label.unionByName(spread).groupBy("question_id", "node").agg(F.min("label").alias("label"))
-        jump = least.select("question_id", F.col("node").alias("label"), F.col("label").alias("above"))
-        new = materialize(least.join(jump, ["question_id", "label"], "left").select("question_id", "node", F.coalesce("above", "label").alias("label")), "labels")
-        changed = new.join(label.withColumnRenamed("label", "old"), ["question_id", "node"]).where("label <> old").limit(1).count()
-        label = new
-        if not changed:
+        told = label.where("changed").select("question_id", F.col("node").alias("src"), "label").join(step, ["question_id", "src"]).groupBy("question_id", F.col("dst").alias("node")).agg(F.min("label").alias("told"))
+        near = label.select("question_id", "node", "label").join(told, ["question_id", "node"], "left").select("question_id", "node", F.least("label", "told").alias("label"), F.coalesce(F.col("told") < F.col("label"), F.lit(False)).alias("changed"))
+        near = materialize(near, "labels")
+        moved = near.where("changed")
+        if moved.isEmpty():
+            step.unpersist()
             return label.select("question_id", "node", F.col("label").alias("component"))
+        above = moved.select("question_id", "node", "label").join(near.select("question_id", F.col("node").alias("label"), F.col("label").alias("above")), ["question_id", "label"]).where("above < label").select("question_id", "node", "above")
+        label = near.join(above, ["question_id", "node"], "left").select("question_id", "node", F.least("label", "above").alias("label"), "changed")
+        label = materialize(label, "labels")
 
 
 def symmetric_relations(triples: DataFrame, least_pairs: int = 10, threshold: float = 0.8) -> DataFrame:

@@ -1,171 +1,148 @@
-"""Budgeted beam search for query programs, one question per group.
+"""Budgeted beam search for query programs, level by level as joins over all questions at once.
 
-A question's graph is small and its search is stateful, so each question is one task-local
-loop in ``applyInPandas``; questions spread over the cluster by hash. The scorer is any
-function of (question, list of texts); the default one compares words.
+A program is a walk from a topic with conditions on the way: its last variable is the answer,
+so the set of that variable's values is all a next step needs. A level joins the values of
+the programs in the beam with their questions' edges, which gives every extension with its
+values in one pass; relevance and score are columns, the budget and the beam are ranks inside
+a question. No question is a Python group, and a question holds at most its budget of states.
+
+Ties go to the program that stood first: a beam's stop before its extensions, extensions by
+relevance, then by their steps. A null question has no words; null topics or triples leave
+nothing to search.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..session import materialize
+
 Scorer = Callable[[str, list[str]], list[float]]
-_WORDS = re.compile(r"[a-z0-9]+")
-
-
-def lexical_scorer(question: str, texts: list[str]) -> list[float]:
-    """Shared words over the root of the product of the set sizes (at least 1)."""
-    q = set(_WORDS.findall(question.lower()))
-    out = []
-    for t in texts:
-        w = set(_WORDS.findall(t.lower()))
-        out.append(len(q & w) / max((len(q) * len(w)) ** 0.5, 1.0))
-    return out
-
-
-def relation_text(relation: str) -> str:
-    return " ".join(relation.split(".")[-2:]).replace("_", " ")
-
-
-class Graph:
-    """Forward and backward neighbours of one question's triples."""
-
-    def __init__(self, triples: list[tuple[str, str, str]]) -> None:
-        self.out: dict[tuple[str, str], set[str]] = defaultdict(set)
-        self.into: dict[tuple[str, str], set[str]] = defaultdict(set)
-        self.at: dict[str, set[tuple[str, str]]] = defaultdict(set)
-        for h, r, t in triples:
-            self.out[h, r].add(t)
-            self.into[t, r].add(h)
-            self.at[h].add((r, "forward"))
-            self.at[t].add((r, "backward"))
-
-    def step(self, node: str, relation: str, direction: str) -> set[str]:
-        return (self.out if direction == "forward" else self.into).get((node, relation), set())
-
-    def answers(self, atoms: tuple[tuple[str, str, str], ...], select: str) -> tuple[set[str], bool]:
-        """Values of ``select`` and whether a step bound both ends of an atom to one node."""
-        rows: list[dict[str, str]] = [{}]
-        loop = False
-        for h, r, t in atoms:  # proposals always run in their textual order
-            new = []
-            for b in rows:
-                head, tail = (b.get(x, x) for x in (h, t))
-                if not head.startswith("?") and not tail.startswith("?"):
-                    found = [(head, tail)] if tail in self.out.get((head, r), ()) else []
-                elif not head.startswith("?"):
-                    found = [(head, x) for x in self.out.get((head, r), ())]
-                elif not tail.startswith("?"):
-                    found = [(x, tail) for x in self.into.get((tail, r), ())]
-                else:
-                    found = []
-                for x, y in found:
-                    loop |= x == y
-                    new.append(b | ({h: x} if h.startswith("?") else {}) | ({t: y} if t.startswith("?") else {}))
-            rows = [dict(k) for k in dict.fromkeys(tuple(sorted(b.items())) for b in new)]
-        return {b[select] for b in rows if select in b}, loop
-
-
-def relevance(question: set[str], atoms: tuple) -> float:
-    words = {w for _, r, _ in atoms for w in _WORDS.findall(relation_text(r).lower())}
-    return len(question & words) / max(len(words), 1)
-
-
-def describe(atoms: tuple, select: str, topics: list[str], finished: bool = False) -> str:
-    name = {t: f"ANCHOR_{i}" for i, t in enumerate(topics, 1)}
-    lines = [f"{name.get(h, h)} --[{relation_text(r)}]--> {name.get(t, t)}" for h, r, t in atoms]
-    return "\n".join([*lines, f"answer variable: {select}", *(["[FINISH]"] if finished else [])])
-
-
-def _initial(g: Graph, topics: list[str]) -> list[tuple[tuple, str]]:
-    return [(((t, r, "?x"),) if d == "forward" else (("?x", r, t),), "?x") for t in dict.fromkeys(topics) for r, d in sorted(g.at.get(t, ()))]
-
-
-def _extensions(g: Graph, atoms: tuple, select: str, answers: set[str], topics: list[str], q: set[str], cap: int) -> list[tuple[tuple, str]]:
-    fresh = f"?v{len(atoms) + 1}"
-    found: dict[tuple, None] = {}
-    for node in answers:
-        for r, d in g.at.get(node, ()):
-            grown = (select, r, fresh) if d == "forward" else (fresh, r, select)
-            found[(*atoms, grown), fresh] = None
-            for topic in topics:
-                if topic != node and topic in g.step(node, r, d):
-                    tied = (select, r, topic) if d == "forward" else (topic, r, select)
-                    if tied not in atoms:
-                        found[(*atoms, tied), select] = None
-    return sorted(found, key=lambda p: (-relevance(q, p[0]), [(r, h, t) for h, r, t in p[0]], p[1]))[:cap]
-
-
-def search(question: str, topics: list[str], triples: list[tuple[str, str, str]], scorer: Scorer = lexical_scorer, beam: int = 10, max_hops: int = 4, cap: int = 500, per_state: int = 50) -> dict:
-    """Best program of one question within the budget of scored programs.
-
-    Each round scores the extensions of the beam and the option to stop at each of its
-    states; the search ends when a stop ranks first, the budget is used or nothing is left.
-    """
-    g, q = Graph(triples), set(_WORDS.findall(question.lower()))
-
-    def usable(programs: list[tuple[tuple, str]]) -> list[tuple[tuple, str, set[str]]]:
-        out = []
-        for atoms, select in programs:
-            found, loop = g.answers(atoms, select)
-            if found and not loop:
-                out.append((atoms, select, found))
-        return out
-
-    def ranked(states: list[tuple[tuple, str, set[str], bool]]) -> list[tuple[float, tuple, str, set[str], bool]]:
-        scores = scorer(question, [describe(a, s, topics, f) for a, s, _, f in states])
-        return sorted(((x, *st) for x, st in zip(scores, states, strict=True)), key=lambda z: -z[0])
-
-    first = sorted(usable(_initial(g, topics)), key=lambda p: (-relevance(q, p[0]), [(r, h, t) for h, r, t in p[0]]))[:cap]
-    scored, rounds, done = len(first), 1, False
-    if not first:
-        return {"atoms": None, "select": None, "answers": [], "score": None, "scored": 0, "rounds": 0, "finished": False}
-    front = ranked([(*p, False) for p in first])[:beam]
-    best = front[0]
-    for _ in range(2, max_hops + 1):
-        if scored >= cap:
-            break
-        options: dict[tuple, tuple] = {}
-        for _, atoms, select, found, _ in front:
-            options.setdefault((atoms, select, True), (atoms, select, found, True))
-            for a, s, f in usable(_extensions(g, atoms, select, found, topics, q, per_state)):
-                options.setdefault((a, s, False), (a, s, f, False))
-        states = list(options.values())[: cap - scored]
-        if not states:
-            break
-        scored, rounds = scored + len(states), rounds + 1
-        order = ranked(states)
-        if order[0][4]:
-            best, done = order[0], True
-            break
-        front = [x for x in order if not x[4]][:beam]
-        if not front:
-            break
-        best = front[0]
-    return {"atoms": [" ".join(a) for a in best[1]], "select": best[2], "answers": sorted(best[3]), "score": float(best[0]), "scored": scored, "rounds": rounds, "finished": done}
-
-
-RESULT = "question_id string, atoms array<string>, select string, answers array<string>, score double, scored int, rounds int, finished boolean"
-
-
-def search_programs(graphs: DataFrame, scorer: Scorer = lexical_scorer, beam: int = 10, max_hops: int = 4, cap: int = 500) -> DataFrame:
-    """Search every question of ``graphs(question_id, question, topic_entities, triples)``.
-
-    A null question has no words; null topics or triples leave nothing to search.
-    """
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for p in batches:
-            rows = []
-            for i, q, topics, ts in zip(p["question_id"], p["question"], p["topic_entities"], p["triples"], strict=True):
-                triples = [(t["head"], t["relation"], t["tail"]) for t in (ts if ts is not None else []) if t is not None and None not in (t["head"], t["relation"], t["tail"])]
-                rows.append({"question_id": i} | search(q or "", [t for t in (topics if topics is not None else []) if t], triples, scorer, beam, max_hops, cap))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return graphs.select("question_id", "question", "topic_entities", F.col("triples")).mapInPandas(run, RESULT)
+def lexical_score(words: Column, program: Column) -> Column:
+    """Words that question and program text share, over the geometric mean of their numbers (at least 1)."""
+    own = F.array_distinct(text.tokens(program))
+    return F.size(F.array_intersect(words, own)) / F.greatest(F.sqrt((F.size(words) * F.size(own)).cast("double")), F.lit(1.0))
+
+
+def _scored(states: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """Adds ``score`` for ``question``, ``words`` and ``described``; a scorer gets each question's texts of an Arrow batch at once."""
+    if scorer is None:
+        return states.withColumn("score", lexical_score(F.col("words"), F.col("described")))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, p in batches:
+            out = pd.Series(0.0, index=q.index)
+            for question, at in q.fillna("").groupby(q.fillna("")).groups.items():
+                out[at] = scorer(question, p[at].tolist())
+            yield out
+
+    return states.withColumn("score", score("question", "described"))
+
+
+def _relation_text(relation: Column) -> Column:
+    return F.translate(F.regexp_extract(relation, r"([^.]*\.)?[^.]*$", 0), "._", "  ")
+
+
+def _described(finished: bool = False) -> Column:
+    end = F.concat(F.lit("\nanswer variable: "), F.col("select"), F.lit("\n[FINISH]" if finished else ""))
+    return F.concat(F.array_join("lines", "\n"), end)
+
+
+def _relevance() -> Column:
+    return F.size(F.array_intersect("words", "relation_words")) / F.greatest(F.size("relation_words"), F.lit(1))
+
+
+def _step(forward: Column, node: Column, other: Column) -> Column:
+    """The atom of a step from ``node`` over ``relation`` to ``other``."""
+    return F.struct(F.col("relation").alias("r"), F.when(forward, node).otherwise(other).alias("h"), F.when(forward, other).otherwise(node).alias("t"))
+
+
+def _line(forward: Column, node: Column, other: Column) -> Column:
+    by = F.concat(F.lit(" --["), _relation_text(F.col("relation")), F.lit("]--> "))
+    return F.when(forward, F.concat(node, by, other)).otherwise(F.concat(other, by, node))
+
+
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, most: int | Column) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
+
+
+_STATE = ["question_id", "question", "words", "atoms", "select", "nodes", "lines", "relation_words"]
+
+
+def search_programs(graphs: DataFrame, scorer: Scorer | None = None, beam: int = 10, max_hops: int = 4, cap: int = 500, per_state: int = 50) -> DataFrame:
+    """Best program of every question of ``graphs(question_id, question, topic_entities, triples)``.
+
+    Every level scores the stop at each program of the beam and its extensions, within ``cap``
+    scored programs a question; a question ends when a stop ranks first, its budget is used or
+    ``max_hops`` levels are done. Programs without values, or with a step from a node to
+    itself, are no candidates. Gives ``question_id, atoms, select, answers, score, scored,
+    rounds, finished``.
+    """
+    asked = materialize(graphs.select("question_id", "question", F.array_distinct(text.tokens(F.coalesce("question", F.lit("")))).alias("words"), F.array_distinct(F.filter(F.coalesce("topic_entities", F.array().cast("array<string>")), lambda t: F.coalesce(t != "", F.lit(False)))).alias("topics"), "triples"), "asked")
+    t = asked.select("question_id", F.explode("triples").alias("x")).select("question_id", "x.*").where("head is not null and relation is not null and tail is not null").distinct()
+    both = F.array(F.struct(F.col("head").alias("node"), F.lit(True).alias("forward"), F.col("tail").alias("other")), F.struct(F.col("tail").alias("node"), F.lit(False).alias("forward"), F.col("head").alias("other")))
+    step = materialize(t.select("question_id", "relation", F.explode(both).alias("e")).select("question_id", "e.node", "relation", "e.forward", "e.other"), "steps")
+    topics = asked.select("question_id", F.posexplode("topics").alias("place", "topic")).select("question_id", "topic", F.concat(F.lit("ANCHOR_"), (F.col("place") + 1).cast("string")).alias("anchor"))
+    forward, variable = F.col("forward"), F.lit("?x")
+    own_words = F.array_distinct(text.tokens(_relation_text(F.col("relation"))))
+
+    begun = topics.withColumnRenamed("topic", "node").join(step, ["question_id", "node"]).groupBy("question_id", "node", "anchor", "relation", "forward").agg(F.collect_set("other").alias("nodes"), F.max(F.col("other") == F.col("node")).alias("loop")).where("not loop")
+    first = begun.join(asked.select("question_id", "question", "words"), "question_id").select(
+        "question_id", "question", "words", F.array(_step(forward, F.col("node"), variable)).alias("atoms"), variable.alias("select"), "nodes",
+        F.array(_line(forward, F.col("anchor"), variable)).alias("lines"), own_words.alias("relation_words"),
+    )
+    first = _ranked(first.withColumn("relevance", _relevance()), ["question_id"], [F.desc("relevance"), F.col("atoms")], "place", cap)
+    scored = _scored(first.withColumn("described", _described()), scorer).withColumn("scored", F.count("*").over(Window.partitionBy("question_id")).cast("int"))
+    front = materialize(_ranked(scored, ["question_id"], [F.desc("score"), F.col("place")], "rank", beam).select(*_STATE, "rank", "score", "scored", F.lit(1).alias("rounds")), "beam")
+    done: list[DataFrame] = []
+    for level in range(2, max_hops + 1):
+        done.append(front.where((F.col("scored") >= cap) & (F.col("rank") == 1)).withColumn("finished", F.lit(False)))
+        going = front.where(F.col("scored") < cap)
+        met = going.select("question_id", "rank", F.explode("nodes").alias("node")).join(step, ["question_id", "node"])
+        grown = met.groupBy("question_id", "rank", "relation", "forward").agg(F.collect_set("other").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"))
+        tied = met.join(topics.withColumnRenamed("topic", "other"), ["question_id", "other"]).groupBy("question_id", "rank", "relation", "forward", "other", "anchor").agg(F.collect_set("node").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.max(F.col("other") != F.col("node")).alias("open")).where("open").drop("open")
+        null = F.lit(None).cast("string")
+        options = grown.withColumn("other", null).withColumn("anchor", null).unionByName(tied)
+        ext = going.join(options, ["question_id", "rank"])
+        is_tie = F.col("other").isNotNull()
+        named = F.concat(F.lit("?v"), (F.size("atoms") + 1).cast("string"))
+        atom = _step(forward, F.col("select"), F.coalesce("other", named))
+        ext = ext.where(~is_tie | ~F.array_contains("atoms", atom)).select(
+            "question_id", "question", "words", "rank", "scored", "rounds", "loop",
+            F.array_append("atoms", atom).alias("atoms"), F.when(is_tie, F.col("select")).otherwise(named).alias("select"), F.col("new_nodes").alias("nodes"),
+            F.array_append("lines", _line(forward, F.col("select"), F.coalesce("anchor", named))).alias("lines"), F.array_distinct(F.concat("relation_words", own_words)).alias("relation_words"),
+        )
+        ext = _ranked(ext.withColumn("relevance", _relevance()), ["question_id", "rank"], [F.desc("relevance"), F.col("atoms"), F.col("select")], "place", per_state).where("not loop")
+        keep = [*_STATE, "rank", "scored", "rounds", "place"]
+        both_kinds = going.withColumn("place", F.lit(0)).select(*keep, _described(True).alias("described"), F.lit(True).alias("finished")).unionByName(ext.select(*keep, _described().alias("described"), F.lit(False).alias("finished")))
+        tried = _ranked(both_kinds, ["question_id"], [F.col("rank"), F.col("place")], "order", F.lit(cap) - F.col("scored"))
+        tried = _scored(tried, scorer).withColumn("scored", (F.col("scored") + F.count("*").over(Window.partitionBy("question_id"))).cast("int")).withColumn("rounds", F.lit(level))
+        best_first = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col("order"))
+        top = F.first("finished").over(best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tried = tried.withColumn("stops", top).where("stops or not finished").withColumn("rank", F.row_number().over(best_first)).where((F.col("rank") == 1) | (~F.col("stops") & (F.col("rank") <= beam)))
+        tried = materialize(tried.select(*_STATE, "rank", "score", "scored", "rounds", "stops"), "beam")
+        done.append(tried.where("stops").withColumn("finished", F.lit(True)).drop("stops"))
+        front = tried.where("not stops").drop("stops")
+    done.append(front.where("rank = 1").withColumn("finished", F.lit(False)))
+    best = done[0]
+    for d in done[1:]:
+        best = best.unionByName(d)
+    none = F.array().cast("array<string>")
+    return asked.select("question_id").join(best.drop("question", "words"), "question_id", "left").select(
+        "question_id",
+        F.transform("atoms", lambda a: F.concat_ws(" ", a["h"], a["r"], a["t"])).alias("atoms"),
+        "select",
+        F.coalesce(F.array_sort("nodes"), none).alias("answers"),
+        "score",
+        F.coalesce("scored", F.lit(0)).alias("scored"),
+        F.coalesce("rounds", F.lit(0)).alias("rounds"),
+        F.coalesce("finished", F.lit(False)).alias("finished"),
+    )

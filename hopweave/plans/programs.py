@@ -238,16 +238,16 @@ def run_chain(triples: DataFrame, program: Chain, topics: DataFrame | None = Non
     return Execution(answers.distinct(), b, identity.distinct())
 
 
-def run_programs(triples: DataFrame, programs: DataFrame, max_hops: int = 4) -> DataFrame:
-    """Many chains at once: ``programs(question_id, program_id, topic, sequence)`` against their questions' graphs.
+def run_programs(triples: DataFrame, programs: DataFrame) -> DataFrame:
+    """Many chains of any length at once: ``programs(question_id, program_id, topic, sequence)`` against their questions' graphs.
 
     One join per hop serves all programs: the hop's key is data, not part of the plan. Gives
     ``question_id, program_id, answers, identity``; a program without answers has an empty list.
     """
     from ..operators import graph
 
-    p = programs.select("question_id", F.col("program_id").alias("path_id"), F.col("topic").alias("anchor"), "sequence")
-    f = graph.frontiers(graph.edges(_clean(triples)), p, max_hops).join(p.select("question_id", "path_id", F.size("sequence").alias("n")), ["question_id", "path_id"])
+    p, longest = graph.stage_paths(programs.select("question_id", F.col("program_id").alias("path_id"), F.col("topic").alias("anchor"), "sequence"))
+    f = graph.frontiers(graph.edges(_clean(triples)), p, longest).join(p.select("question_id", "path_id", F.size("sequence").alias("n")), ["question_id", "path_id"])
     got = f.groupBy("question_id", "path_id").agg(F.array_sort(F.collect_set(F.when((F.col("step") == F.col("n")) & (F.col("step") > 0), F.col("node")))).alias("answers"), F.max(F.col("src").eqNullSafe(F.col("node")) & F.col("src").isNotNull()).alias("identity"))
     return got.withColumnRenamed("path_id", "program_id")
 

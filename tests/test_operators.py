@@ -44,6 +44,15 @@ def test_distances_and_components_against_brute_force(spark):
     assert comp == {x: min(bfs(adj, x)) for x in adj}
 
 
+def test_long_chains(spark):
+    rows = [("q", f"c{i:03}", "r0", f"c{i + 1:03}") for i in range(150)] + [("q", "lone", "r0", "lone"), ("p", "c000", "r0", "x")]
+    e = graph.edges(spark.createDataFrame(rows, T))
+    got = graph.distances(e, spark.createDataFrame([("q", "c000")], "question_id string, node string"))
+    assert got.count() == 151 and got.agg(F.max("distance")).first()[0] == 150
+    comp = {(r["question_id"], r["node"]): r["component"] for r in graph.components(e).collect()}
+    assert comp["q", "c150"] == "c000" and comp["q", "lone"] == "lone" and comp["p", "x"] == "c000" and len(comp) == 154
+
+
 def test_families_provenance_and_reduction(spark):
     rows = [("q", "book", "author", "a1"), ("q", "book", "author", "a2"), ("q", "a1", "born", "London"), ("q", "a2", "born", "Paris"), ("q", "book", "author", "a1"), ("q", "book", "same", "book")]
     e = graph.edges(spark.createDataFrame(rows, T))
@@ -51,10 +60,10 @@ def test_families_provenance_and_reduction(spark):
     f = {tuple(r["sequence"]): r["answers"] for r in graph.path_families(e, anchors).collect()}
     assert f == {("author::forward",): ["a1", "a2"], ("author::forward", "born::forward"): ["London", "Paris"]}
     p = spark.createDataFrame([("q", "1", "book", ["author::forward", "born::forward"]), ("q", "2", "book", ["same::forward", "author::forward"]), ("q", "3", "book", ["none::forward", "born::forward"])], "question_id string, path_id string, anchor string, sequence array<string>")
-    m = {r["path_id"]: r for r in graph.materialize_paths(e, p, 2).collect()}
+    m = {r["path_id"]: r for r in graph.materialize_paths(e, p).collect()}
     assert m["1"]["answers"] == ["London", "Paris"] and "a2\tborn\tParis" in m["1"]["facts"] and len(m["1"]["facts"]) == 4
     assert m["3"]["answers"] == []
-    r = {x["path_id"]: x["reduced"] for x in graph.strict_reduce(e, p, 2).collect()}
+    r = {x["path_id"]: x["reduced"] for x in graph.strict_reduce(e, p).collect()}
     assert r == {"1": ["author::forward", "born::forward"], "2": ["author::forward"], "3": ["none::forward", "born::forward"]}
 
 
@@ -106,13 +115,26 @@ def test_round_robin_and_samples(spark):
     assert Counter(r["role"] for r in s) == {"positive": 1, "hard": 3, "random": 2} and {r["i"] for r in s if r["role"] == "hard"} == {29, 28, 27} and {r["k"] for r in s} == {"g"}
 
 
-def test_search_skips_identity_and_keeps_budget():
+G = "question_id string, question string, topic_entities array<string>, triples array<struct<head string, relation string, tail string>>"
+
+
+def test_search_skips_identity_and_keeps_budget(spark):
     t = [("city", "located.in", "country"), ("city", "same.as", "city"), ("country", "has.capital", "town")]
-    r = search.search("which country is the city located in?", ["city"], t)
+    run = lambda q, topics, triples, **k: search.search_programs(spark.createDataFrame([("i", q, topics, triples)], G), **k).first()
+    r = run("which country is the city located in?", ["city"], t)
     assert r["answers"] == ["country"] and "same.as" not in " ".join(r["atoms"])
     many = [(f"n{i}", f"rel.r{j}", f"n{(i + j) % 7}") for i in range(7) for j in range(1, 4)]
-    assert search.search("rel", ["n0"], many, cap=5)["scored"] <= 5
-    assert search.search("q", ["n0"], [])["atoms"] is None
+    assert run("rel", ["n0"], many, cap=5)["scored"] <= 5
+    assert run("q", ["n0"], [])["atoms"] is None
+
+
+def test_search_conditions_and_scorer(spark):
+    t = [("book", "written.author", "ann"), ("book", "written.author", "bob"), ("ann", "person.city", "oslo"), ("bob", "person.city", "rome")]
+    g = spark.createDataFrame([("i", "which author of the book has city", ["book", "oslo"], t)], G)
+    r = search.search_programs(g).first()
+    assert r["answers"] == ["ann"] and sorted(r["atoms"]) == ["?x person.city oslo", "book written.author ?x"]
+    longest = search.search_programs(g, scorer=lambda q, texts: [float(len(x) * ("FINISH" not in x)) for x in texts], max_hops=3).first()
+    assert len(longest["atoms"]) == 3 and longest["rounds"] == 3 and not longest["finished"]
 
 
 def test_search_rows_with_nulls(spark):

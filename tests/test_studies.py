@@ -76,7 +76,7 @@ def test_ceiling_and_rebuild(spark):
     e = graph.edges(spark.createDataFrame([("q", "b", "r", "z")], "question_id string, head string, relation string, tail string"))
     c = spark.createDataFrame([("q", 0, ["r::forward"])], "question_id string, candidate_index int, sequence array<string>")
     a = spark.createDataFrame([("q", 0, "a"), ("q", 1, "b")], "question_id string, position int, node string")
-    r = evidence.rebuild_paths(e, c, a, 1).first()
+    r = evidence.rebuild_paths(e, c, a).first()
     assert (r["anchor"], r["answers"]) == ("b", ["z"])
 
 
