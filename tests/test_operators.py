@@ -174,14 +174,61 @@ def test_splits_and_slices(spark):
 LINES = ["(a,x.y,b)", "(b,x.y,c, d)", "(z,x.y,w)", "(a,x.y,b)"]
 
 
-def test_organizer_is_lossless(spark):
-    assert Counter(organize.organized("what of b?", LINES)) == Counter(LINES)
-    assert organize.emitter_groups("what of b?", LINES)[0][0] == "b"
-    back = organize.decode_adjacency(organize.adjacency_lines(LINES))
-    assert Counter(back) == Counter(map(organize.split_line, LINES))
-    prompts = spark.createDataFrame([("1", "q", LINES), ("2", None, []), ("3", "q", None)], "id string, question string, lines array<string>")
-    for arm in organize.ARMS:
-        assert organize.organize(prompts, arm).count() == 3
+def queue_order(question, lines):
+    """Brute force: components, their roots, and a queue."""
+    triples = [(x[1:-1].split(",")[0], ",".join(x[1:-1].split(",")[2:])) for x in lines]
+    adj = {}
+    for h, t in triples:
+        adj.setdefault(h, set()).add(t)
+        adj.setdefault(t, set()).add(h)
+    seen, parts = set(), []
+    for n in sorted(adj):
+        if n not in seen:
+            part = set(bfs(adj, n))
+            seen |= part
+            own = [i for i, (h, _) in enumerate(triples) if h in part]
+            named = organize.mentioned(question, sorted(part))
+            at = {e: [i for i in own if e in triples[i]] for e in part}
+            parts.append(((not named, -len(own), own[0]), named or [min(part, key=lambda e: (-len(at[e]), at[e][0], e))], at))
+    out = []
+    for _, roots, at in sorted(parts, key=lambda p: p[0]):
+        queue, met, used = deque(roots), set(roots), set()
+        while queue:
+            e = queue.popleft()
+            mine = [i for i in at[e] if i not in used]
+            used |= set(mine)
+            for i in mine:
+                o = triples[i][1] if triples[i][0] == e else triples[i][0]
+                if o not in met:
+                    met.add(o)
+                    queue.append(o)
+            out += ([f"[{e}]"] if mine else []) + [lines[i] for i in mine]
+    return out
+
+
+def test_organizer_against_a_queue(spark):
+    rnd = random.Random(11)
+    rows = [("1", "what of b?", LINES), ("2", None, []), ("3", "q", None)]
+    for k in range(12):
+        names = ["ann", "bob lee", "bob", "cat", "dan", "eve fox", "gil", "hal"]
+        rows.append((f"r{k}", rnd.choice(["who knows bob lee and cat?", "what of dan?", None]), [f"({rnd.choice(names)},x.r{rnd.randint(0, 2)},{rnd.choice(names)})" for _ in range(rnd.randint(1, 14))]))
+    prompts = spark.createDataFrame(rows, "id string, question string, lines array<string>")
+    got = {arm: {r["id"]: r["lines"] for r in organize.organize(prompts, arm).collect()} for arm in organize.ARMS}
+    for i, q, lines in rows:
+        want = queue_order(q, lines or [])
+        assert got["structured"][i] == want
+        assert got["reorder"][i] == [x for x in want if not x.startswith("[")]
+    back = organize.decode_adjacency(organize.organize(prompts, "adjacency"))
+    again = Counter((r["id"], f"({r['head']},{r['relation']},{r['tail']})") for r in back.collect())
+    assert again == Counter((i, x) for i, _, lines in rows for x in lines or [])
+
+
+def test_mentions():
+    assert organize.mentioned("the Bob Lee and bob", ["bob", "bob lee", "BOB LEE ", "x"]) == ["BOB LEE ", "bob"]
+    assert organize.mentioned(None, ["a"]) == [] and organize.mentioned("a b", ["a"]) == []
+
+
+def test_prompt_lines(spark):
     line = spark.createDataFrame([("(b,x.y,c, d)",), ("(a,b,c)",), ("a,b,c",), ("(a,b)",), (None,)], "l string").select(organize.parse_triple(F.col("l")).alias("t")).collect()
     assert [r["t"] and tuple(r["t"]) for r in line] == [("b", "x.y", "c, d"), ("a", "b", "c"), None, None, None]
     prompt = "Do.\n\nTriplets:\n(a,x.y,b)\n(c,x.y,d)\n\nQuestion:\nwhich?"
