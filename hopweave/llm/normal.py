@@ -23,6 +23,15 @@ _WORD = re.compile(r"[^\W_]+")
 _MOJI = re.compile("[ÂÃÄÅ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]?")
 
 
+_ENTITY = re.compile(r"&[A-Za-z]{2,31};")
+
+
+def _entity(m: re.Match) -> str:
+    """A named character whose name was written in another case."""
+    s = html.unescape(m.group())
+    return s if s != m.group() else html.unescape(m.group().lower())
+
+
 def _mend(m: re.Match) -> str:
     s = m.group()
     raw = b"".join(c.encode("latin-1") if ord(c) < 256 else c.encode("cp1252", "replace") for c in s)
@@ -49,7 +58,7 @@ def plain(text: str | None, cased: bool = False) -> str:
     if not text:
         return ""
     if "&" in text:
-        text = html.unescape(html.unescape(text))
+        text = html.unescape(html.unescape(_ENTITY.sub(_entity, text)))
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "](" in text:
