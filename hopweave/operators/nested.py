@@ -7,10 +7,12 @@ are stored once; every occurrence is kept by a bridge row naming parent, place a
 
 Identities are 16 bytes of SHA-256. Tables returned by :func:`flatten`:
 
-``records(record_id, origin, question, split, kg, record_hash)``
+``records(record_id, origin, record_hash)``: a row for each record
+``record_objects(record_hash, question, split, kg)``
+``object_paths(record_hash, path_role, path_index, path_hash)``
 ``paths(path_hash, anchor, anchor_type, answer_type, kg, negative_type, question, extra, n_hops)``
 ``hops(hop_hash, relation, direction, source_type, target_type, extra)``
-``record_paths(record_id, path_role, path_index, path_hash)``
+``record_paths(record_id, origin, path_role, path_index, path_hash)``: the same links by record
 ``path_hops(path_hash, hop_index, hop_hash)``
 
 Defined results for odd input: a null or empty list has no bridge rows; a null element keeps
@@ -55,7 +57,16 @@ class FlatTables:
 
     @property
     def records(self) -> DataFrame:
-        return self.hashed.select("record_id", "origin", "question", "split", "kg", "record_hash").distinct()
+        return self.bridge.select("record_id", "origin", "record_hash").distinct()
+
+    @property
+    def record_objects(self) -> DataFrame:
+        one = self.hashed.groupBy("record_hash").agg(F.any_value(F.struct("question", "split", "kg")).alias("r"))
+        return one.select("record_hash", "r.*")
+
+    @property
+    def object_paths(self) -> DataFrame:
+        return self.bridge.select("record_hash", F.explode("paths").alias("p")).select("record_hash", "p.path_role", "p.path_index", "p.path_hash").distinct()
 
     @property
     def paths(self) -> DataFrame:
@@ -70,7 +81,7 @@ class FlatTables:
 
     @property
     def record_paths(self) -> DataFrame:
-        return self.bridge.select("record_id", F.explode("paths").alias("p")).select("record_id", "p.path_role", "p.path_index", "p.path_hash").distinct()
+        return self.bridge.select("record_id", "origin", F.explode("paths").alias("p")).select("record_id", "origin", "p.path_role", "p.path_index", "p.path_hash").distinct()
 
     @property
     def path_hops(self) -> DataFrame:
@@ -258,15 +269,15 @@ def flatten(nested: DataFrame) -> FlatTables:
     )
     hashed = nested.withColumn("paths", with_hops).withColumn("paths", with_paths).withColumn("record_hash", record_hash)
     narrow = F.transform("paths", lambda p: F.struct(p["path_role"].alias("path_role"), p["path_index"].alias("path_index"), p["path_hash"].alias("path_hash"), F.transform(p["hops"], lambda h: h["hop_hash"]).alias("hop_hashes")))
-    return FlatTables(hashed, materialize(hashed.select("record_id", narrow.alias("paths")), "identities"))
+    return FlatTables(hashed, materialize(hashed.select("record_id", "origin", "record_hash", narrow.alias("paths")), "identities"))
 
 
 def occurrences(t: FlatTables) -> DataFrame:
-    """Every hop occurrence: ``record_id, path_role, path_index, hop_index`` plus the identities.
+    """Every hop occurrence: ``record_id, origin, path_role, path_index, hop_index`` plus the identities.
 
     The join is on the path identity; a path shared by very many records makes one hot key on
     the bridge side only, which adaptive execution splits (the other side has one path's hops).
     A record delivered twice shows twice here; take distinct rows.
     """
-    bridge = t.bridge.select("record_id", F.explode("paths").alias("p")).select("record_id", "p.path_role", "p.path_index", "p.path_hash")
-    return bridge.join(t.path_hops, "path_hash").select("record_id", "path_role", "path_index", "hop_index", "path_hash", "hop_hash")
+    bridge = t.bridge.select("record_id", "origin", F.explode("paths").alias("p")).select("record_id", "origin", "p.path_role", "p.path_index", "p.path_hash")
+    return bridge.join(t.path_hops, "path_hash").select("record_id", "origin", "path_role", "path_index", "hop_index", "path_hash", "hop_hash")

@@ -78,3 +78,13 @@ def test_identities_differ(spark):
     t = nested.flatten(nested.from_examples(spark.createDataFrame(rows, EX)))
     assert t.records.select("record_hash").distinct().count() == 4
     assert t.paths.count() == 4
+
+
+def test_origins_stay_apart_and_equal_records_are_stored_once(spark):
+    line = json.dumps({"question": "q", "split": "train", "kg": "k", "positive_path": {"anchor": "A", "hops": [{"relation": "a", "direction": "forward"}]}})
+    both = nested.from_examples(spark.createDataFrame(ROWS, EX)).unionByName(nested.from_lines(spark.createDataFrame([("e1", line), ("x1", line), ("x2", line)], "raw_id string, line_text string")))
+    t = nested.flatten(both)
+    assert t.records.where("record_id = 'e1'").count() == 2 and t.record_paths.where("record_id = 'e1' and path_role = 'positive'").count() == 2
+    assert t.record_objects.where("question = 'q'").count() == 2 and t.records.count() == 6
+    assert t.object_paths.join(t.records.where("record_id = 'x2'"), "record_hash").count() == 1
+    assert t.records.join(t.record_objects, "record_hash", "left_anti").count() == 0
