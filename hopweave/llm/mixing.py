@@ -5,13 +5,13 @@ that key, so a source holding most of the rows still spreads over all partitions
 token sums inside each partition plus the totals of the partitions before it (one row per
 partition and target source) give each document's place in its source. A source takes whole
 epochs while its budget allows, up to its repeat cap; the last epoch is cut where the
-remaining budget ends, and the gap that the document on the cut leaves is filled by the
-largest documents beyond the cut that still fit, ``FILL`` of them.
+remaining budget ends. The document on the cut is taken when at least half of it lies within
+the budget, so a source misses its budget by half a document at most; the report says by
+how much. Documents are rows: rows of one id are several documents.
 
 Budget: target share times the tokens of all documents given. Documents of sources without
 a target, or with a null source, are in no mixture but count in the total. A source without
 documents has an actual size of 0. Null and empty texts have no tokens and are never taken.
-Repeated document ids are told apart by nothing else here: give distinct documents.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 MAX_SOURCES = 10_000
-FILL = 4
 
 
 def prefix_sums(sized: DataFrame, parts: int, seed: int = 29) -> DataFrame:
@@ -61,7 +60,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 29) -> tuple[DataFrame
     """Mixture and report from ``sized(doc_id, source, n_tokens)`` and ``targets(source, target_share, max_repeats)``.
 
     Returns ``(doc_id, source, n_tokens, copies)`` of the documents taken and
-    ``(source, target_share, actual_share, share_of_mixture, target_tokens, actual_tokens,
+    ``(source, target_share, actual_share, share_of_mixture, target_tokens, actual_tokens, gap_tokens,
     source_tokens, documents, epochs, max_repeats)`` with a row for every target.
     """
     spark = sized.sparkSession
@@ -77,28 +76,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 29) -> tuple[DataFrame
     sizes = mine.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     plans = budgets.join(sizes, "source").withColumn("full", F.least(F.floor(F.col("budget") / F.col("source_tokens")), F.col("cap")).cast("int"))
     rest = F.col("budget") - F.col("full") * F.col("source_tokens")
-    inside = (F.col("full") < F.col("cap")) & (F.col("before") + F.col("n_tokens") <= rest)
-    cut = materialize(placed.join(F.broadcast(plans), "source").select("doc_id", "source", "n_tokens", "full", "cap", rest.alias("rest"), inside.alias("inside")), "cut")
-    left = cut.groupBy("source").agg(F.any_value(F.when(F.col("full") < F.col("cap"), F.col("rest")).otherwise(0.0)).alias("rest"), F.sum(F.when(F.col("inside"), F.col("n_tokens")).otherwise(0)).alias("got"))
-    gaps = {r["source"]: r["rest"] - r["got"] for r in left.collect()}  # one row per target source
-    filler: list = []
-    for _ in range(FILL):
-        open_gaps = [(s, float(g)) for s, g in gaps.items() if g >= 1]
-        if not open_gaps:
-            break
-        fits = cut.where(~F.col("inside")).join(F.broadcast(spark.createDataFrame(open_gaps, "source string, gap double")), "source").where("n_tokens <= gap")
-        if filler:
-            fits = fits.join(F.broadcast(spark.createDataFrame([(d,) for d, _ in filler], T.StructType([cut.schema["doc_id"]]))), "doc_id", "left_anti")
-        best = fits.groupBy("source").agg(F.max(F.struct("n_tokens", "doc_id")).alias("b")).collect()
-        if not best:
-            break
-        for r in best:
-            filler.append((r["b"]["doc_id"], r["source"]))
-            gaps[r["source"]] -= r["b"]["n_tokens"]
-    extra = F.col("inside")
-    if filler:
-        extra = extra | F.col("doc_id").isin([d for d, _ in filler])
-    taken = materialize(cut.select("doc_id", "source", "n_tokens", (F.col("full") + extra.cast("int")).alias("copies")).where("copies > 0"), "mixture")
+    inside = (F.col("full") < F.col("cap")) & (2 * (rest - F.col("before")) >= F.col("n_tokens"))
+    copies = (F.col("full") + inside.cast("int")).alias("copies")
+    taken = materialize(placed.join(F.broadcast(plans), "source").select("doc_id", "source", "n_tokens", copies).where("copies > 0"), "mixture")
     actual = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("documents"), F.max("copies").alias("epochs"))
     report = budgets.join(sizes, "source", "left").join(actual, "source", "left").na.fill(0)
     mixture = F.sum("actual_tokens").over(Window.partitionBy())
@@ -110,6 +90,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 29) -> tuple[DataFrame
         F.try_divide("actual_tokens", mixture).alias("share_of_mixture"),
         F.col("budget").alias("target_tokens"),
         "actual_tokens",
+        (F.col("budget") - F.col("actual_tokens")).alias("gap_tokens"),
         "source_tokens",
         "documents",
         "epochs",

@@ -1,10 +1,12 @@
 """Cutting oversized texts at natural boundaries by structure-tree packing.
 
-A text is a tree: sections by heading depth, blocks between blank lines, lines and list
-items, sentences, words. A node within the limit stays whole; only an oversized node is
-descended into, and neighbouring siblings are merged bottom-up while they fit. Where not even a
-word fits, the cut is at a token. Each piece but the first then starts earlier by about
-``overlap`` tokens, at a sentence or else a word start.
+A text is parsed into a tree: sections by heading depth (``#``, underlined, ``<h1>`` to
+``<h6>``), blocks (blank lines, fenced code, block tags), list items by nesting, lines,
+sentences, words. Inside a fence nothing is a heading, an item or a blank line. A node within
+the limit stays whole; only an oversized node is descended into, and neighbouring siblings
+are merged bottom-up while they fit. Where not even a word fits, the cut is at a token. Each
+piece but the first then starts earlier by about ``overlap`` tokens, at a sentence or else a
+word start.
 
 A text is encoded once; sizes of spans come from the running token offsets, and each piece
 is encoded again to prove that it keeps the limit. Null and empty texts, and texts within
@@ -14,7 +16,7 @@ the limit, have no pieces. Rows are told apart by nothing: repeated rows give re
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,12 +24,16 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-_HEAD = re.compile(r"(?m)^(#{1,6})[ \t]+\S|^(?=[^\n]{1,200}\n(?:={3,}|-{3,})[ \t]*$)")
-_BLOCK = re.compile(r"\n[ \t\r]*\n\s*")
-_LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'’”)\]]*\s+|[。！？]")
 _WORD = re.compile(r"\s+")
-KINDS = ("section", "block", "line", "sentence", "word", "token")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_HEAD = re.compile(r" {0,3}(#{1,6})[ \t]+\S")
+_UNDER = re.compile(r" {0,3}(=|-)\1{2,}[ \t]*\r?$")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+•]|\d{1,9}[.)])[ \t]+\S")
+_TAG = re.compile(r"<(/?)(h[1-6]|p|div|section|article|table|tr|ul|ol|li|blockquote|pre|hr)\b", re.I)
+_LINE = re.compile(r"\n")
+BLOCK, ITEM, LINE = 7, 8, 1000  # ranks of boundaries; sections have their depth, items add their nesting
+FREE = ("sentence", "word", "token")
 PIECES = "piece_index int, start_char long, end_char long, n_tokens int, end_kind string, piece string"
 
 
@@ -58,51 +64,115 @@ class _Sizes:
         return byte if self.byte_of is None else int(np.searchsorted(self.byte_of, byte, side="right") - 1)
 
 
-def _cuts(text: str, lo: int, hi: int, level: int) -> list[int]:
-    """Inner boundaries of a span at a level of the tree, as positions where a child starts."""
-    pattern = (None, _BLOCK, _LINE, _SENTENCE, _WORD)[level]
-    return [m.end() for m in pattern.finditer(text, lo, hi) if lo < m.end() < hi]
-
-
-def _pack(text: str, lo: int, hi: int, level: int, limit: int, sizes: _Sizes) -> list[tuple[int, int, str]]:
-    size = lambda a, b: int(sizes.upto(b) - sizes.upto(a)) + 1
-    kind = KINDS[level]
-    if kind == "token":
-        out, at = [], lo
-        while at < hi:
-            end = min(hi, max(at + 1, sizes.char_at(int(sizes.upto(at)) + limit - 2)))
-            out.append((at, end, "token"))
-            at = end
-        return out
-    if kind == "section":
-        heads = [(m.start(), len(m.group(1)) if m.group(1) else 2) for m in _HEAD.finditer(text, lo, hi) if m.start() > lo]
-        if not heads:
-            return _pack(text, lo, hi, level + 1, limit, sizes)
-        top = min(d for _, d in heads)
-        cuts = [p for p, d in heads if d == top]
-    else:
-        cuts = _cuts(text, lo, hi, level)
-    if not cuts:
-        return _pack(text, lo, hi, level + 1, limit, sizes)
-    packed: list[tuple[int, int, str]] = []
-    edges = [lo, *cuts, hi]
-    at = sizes.upto(np.asarray(edges))
-    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if at[i + 1] - at[i] + 1 <= limit:
-            children = [(a, b, kind)]
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a node of the text's tree starts, and their ranks: the smaller, the higher in the tree."""
+    at: dict[int, int] = {}
+
+    def mark(place: int, rank: int) -> None:
+        at[place] = min(rank, at.get(place, rank))
+
+    lines, place = [], 0
+    for x in text.split("\n"):
+        lines.append((place, x))
+        place += len(x) + 1
+    fence, blank, nest = "", False, []
+    for i, (place, x) in enumerate(lines):
+        ticks = _FENCE.match(x)
+        if fence:
+            mark(place, LINE)
+            if ticks and ticks[1].startswith(fence):
+                fence = ""
+                mark(min(place + len(x) + 1, len(text)), BLOCK)
+            continue
+        if not x.strip():
+            blank = True
+            continue
+        indent = len(x) - len(x.lstrip())
+        item, head = _ITEM.match(x), _HEAD.match(x)
+        under = _UNDER.match(lines[i + 1][1]) if i + 1 < len(lines) and not item and not head else None
+        if ticks:
+            fence = ticks[1]
+            mark(place, BLOCK)
+        elif head or under:
+            nest = []
+            mark(place, len(head[1]) if head else 1 if under[1] == "=" else 2)
+        elif item:
+            deep = [n for n in nest if n < len(item[1].expandtabs())]
+            first, nest = not nest, [*deep, len(item[1].expandtabs())]
+            mark(place, BLOCK if first and blank else ITEM + len(deep))
+        elif blank:
+            nest = [n for n in nest if n < indent]
+            mark(place, ITEM + len(nest) if nest else BLOCK)
         else:
-            children = _pack(text, a, b, level if kind == "section" else level + 1, limit, sizes)
-            children[-1] = (*children[-1][:2], kind)
-        for c in children:  # merge with the sibling before while both fit
-            if packed and size(packed[-1][0], c[1]) <= limit:
-                packed[-1] = (packed[-1][0], c[1], c[2])
-            elif packed and level < 5 and 4 * size(packed[-1][0], packed[-1][1]) < limit:
-                # a scrap (a heading, say) goes with what follows, which is cut lower down
-                again = _pack(text, packed.pop()[0], c[1], level + 1, limit, sizes)
-                packed += [*again[:-1], (*again[-1][:2], c[2])]
-            else:
-                packed.append(c)
-    return packed
+            mark(place, LINE)
+        blank = False
+    if "<" in text:
+        lists = 0
+        for m in _TAG.finditer(text):
+            name, shut = m[2].lower(), bool(m[1])
+            lists += (name in ("ul", "ol")) * (-1 if shut else 1)
+            if not shut:
+                mark(m.start(), int(name[1]) if name[0] == "h" and name != "hr" else ITEM + max(0, lists - 1) if name == "li" else BLOCK)
+    places = sorted(at)
+    return np.array(places, np.int64), np.array([at[p] for p in places], np.int64)
+
+
+def _kind(rank: int) -> str:
+    return "section" if rank < BLOCK else "block" if rank == BLOCK else "item" if rank < LINE else "line"
+
+
+class _Packer:
+    def __init__(self, text: str, sizes: _Sizes, limit: int) -> None:
+        self.text, self.sizes, self.limit = text, sizes, limit
+        self.places, self.ranks = boundaries(text)
+
+    def size(self, a: int, b: int) -> int:
+        return int(self.sizes.upto(b) - self.sizes.upto(a)) + 1
+
+    def tree(self, lo: int, hi: int, above: int = 0) -> list[tuple[int, int, str]]:
+        """Pieces of a node: its children, those too large packed in turn; boundaries up to rank ``above`` count no more."""
+        i, j = np.searchsorted(self.places, lo, "right"), np.searchsorted(self.places, hi, "left")
+        ranks = self.ranks[i:j]
+        ranks = ranks[ranks > above]
+        if not len(ranks):
+            return self.free(lo, hi, 0)
+        top = int(ranks.min())
+        cuts = self.places[i:j][self.ranks[i:j] == top].tolist()
+        return self.packed([lo, *cuts, hi], _kind(top), lambda a, b: self.tree(a, b, top))
+
+    def free(self, lo: int, hi: int, level: int) -> list[tuple[int, int, str]]:
+        """Pieces of a line: sentences, words, tokens."""
+        if FREE[level] == "token":
+            out, at = [], lo
+            while at < hi:
+                end = min(hi, max(at + 1, self.sizes.char_at(int(self.sizes.upto(at)) + self.limit - 2)))
+                out.append((at, end, "token"))
+                at = end
+            return out
+        pattern = (_SENTENCE, _WORD)[level]
+        cuts = [m.end() for m in pattern.finditer(self.text, lo, hi) if lo < m.end() < hi]
+        if not cuts:
+            return self.free(lo, hi, level + 1)
+        return self.packed([lo, *cuts, hi], FREE[level], lambda a, b: self.free(a, b, level + 1))
+
+    def packed(self, edges: list[int], kind: str, down: Callable[[int, int], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
+        out: list[tuple[int, int, str]] = []
+        at = self.sizes.upto(np.asarray(edges))
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            children = [(a, b, kind)]
+            if at[i + 1] - at[i] + 1 > self.limit:
+                children = down(a, b)
+                children[-1] = (*children[-1][:2], kind)
+            for c in children:  # merge with the sibling before while both fit
+                if out and self.size(out[-1][0], c[1]) <= self.limit:
+                    out[-1] = (out[-1][0], c[1], c[2])
+                elif out and kind not in FREE and 4 * self.size(out[-1][0], out[-1][1]) < self.limit:
+                    # a scrap (a heading, say) goes with what follows, which is cut lower down
+                    again = down(out.pop()[0], c[1])
+                    out += [*again[:-1], (*again[-1][:2], c[2])]
+                else:
+                    out.append(c)
+        return out
 
 
 def split_text(text: str | None, limit: int = 3000, overlap: int = 100, path: str = tokens.VOCABULARY) -> list[tuple[int, int, int, str]]:
@@ -116,11 +186,11 @@ def split_text(text: str | None, limit: int = 3000, overlap: int = 100, path: st
     room = max(limit - overlap - overlap // 4 - 8, limit // 2, 1)
     count = lambda a, b: len(tokens.encoder(path).encode_ordinary(text[a:b]))
     out: list[tuple[int, int, int, str]] = []
-    todo = _pack(text, 0, len(text), 0, room, sizes)[::-1]
+    todo = _Packer(text, sizes, room).tree(0, len(text))[::-1]
     while todo:
         lo, hi, kind = todo.pop()
         if count(lo, hi) > limit:  # cutting inside a token can add tokens
-            smaller = _pack(text, lo, hi, KINDS.index("sentence"), max(1, room // 2), sizes)
+            smaller = _Packer(text, sizes, max(1, room // 2)).free(lo, hi, 0)
             if len(smaller) > 1:
                 todo += [*smaller[:-1], (*smaller[-1][:2], kind)][::-1]
                 continue

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hopweave.llm import defects, leaks, mixing, normal, queries_text, splitting, tokens
 
@@ -101,12 +102,34 @@ def test_split_text_properties():
                 if not overlap:
                     assert y[0] == x[1]
     sections = splitting.split_text(texts[0], 500, 50)
-    assert {k for *_, k in sections} <= {"section", "block", "line", "end"}
+    assert {k for *_, k in sections} <= {"section", "block", "item", "line", "end"}
     shared = [len(e.encode_ordinary(texts[0][b[0] : a[1]])) for a, b in zip(sections, sections[1:], strict=False)]
     assert all(20 <= n <= 80 for n in shared)
     assert splitting.split_text(None) == [] == splitting.split_text("") == splitting.split_text("short")
 
 
+def test_tree_of_fences_lists_and_markup():
+    text = "Title\n=====\n\nintro\n\n```py\n# no heading\n\n- no item\n```\nafter\n\n- one\n  - deep\n\n    still deep\n- two\n\n" + "x" * 300 + "\n---\n\n<h2>H</h2><ul><li>a</li><li>b<ul><li>c</li></ul></li></ul><p>end</p>"
+    places, ranks = splitting.boundaries(text)
+    at = {text[p : p + 12].split("\n")[0]: int(r) for p, r in zip(places, ranks, strict=True)}
+    assert at["Title"] == 1 and at["intro"] == splitting.BLOCK and at["```py"] == splitting.BLOCK and at["after"] == splitting.BLOCK
+    assert at["# no heading"] == at["- no item"] == splitting.LINE
+    assert at["- one"] == splitting.BLOCK and at["  - deep"] == splitting.ITEM + 1 and at["    still de"] == splitting.ITEM + 2 and at["- two"] == splitting.ITEM
+    assert at["x" * 12] == 2 and at["<h2>H</h2><u"] == 2 and at["<li>c</li></"] == splitting.ITEM + 1 and at["<p>end</p>"] == splitting.BLOCK
+
+
+def test_fences_and_nested_items_stay_whole():
+    rnd = random.Random(6)
+    line = lambda n: " ".join(prose(rnd, n))
+    fence = "```\n" + "\n\n".join("# " + line(6) for _ in range(12)) + "\n```"
+    item = lambda: "- " + line(9) + "\n" + "\n".join("  - " + line(9) for _ in range(3))
+    text = "\n\n".join(["# One", line(60), fence, line(60), "\n".join(item() for _ in range(30)), fence, line(90)])
+    pieces = splitting.split_text(text, 420, 0)
+    assert "".join(text[a:b] for a, b, *_ in pieces) == text
+    for a, b, *_ in pieces[:-1]:
+        assert text[a:b].count("```") % 2 == 0 and not text[b:].startswith("  - ")
+
+
 def test_split_oversized_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "word " * 5000, 0), (4, "x", 0), (3, "word " * 5000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -131,6 +154,9 @@ def test_mixing_shares_caps_and_skew(spark):
         assert max(r["copies"] for r in mine) <= cap
         assert abs(sum(r["copies"] * r["n_tokens"] for r in mine) - share * total) <= 3 == 3
         assert abs(by[s]["actual_share"] - share) < 1e-3
+        assert abs(by[s]["gap_tokens"]) <= 25 and abs(by[s]["gap_tokens"] - (by[s]["target_tokens"] - by[s]["actual_tokens"])) < 1e-6
+    twice, _ = mixing.mix(sized.unionByName(sized), targets)  # rows of one id are several documents
+    assert abs(twice.where("source = 'b'").agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] - 0.5 * 2 * total) <= 25
     assert {r["copies"] for r in rows if r["source"] == "small"} == {3} and by["small"]["actual_tokens"] == 300
     assert by["absent"]["actual_tokens"] == 0 and by["absent"]["documents"] == 0
     again = {(r["doc_id"], r["copies"]) for r in mixing.mix(sized.repartition(3), targets)[0].collect()}
