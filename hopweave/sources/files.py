@@ -112,12 +112,18 @@ def write_jsonl(df: DataFrame, path: str) -> int:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """A metrics table of one row as an indented JSON document (driver side)."""
+    """A metrics table of one row as an indented JSON document, in whatever file system the path names."""
     row = df.limit(2).collect()
     if len(row) != 1:
         raise ValueError("a document needs exactly one row")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(row[0].asDict(True), f, ensure_ascii=False, indent=2, default=str)
+    text = json.dumps(row[0].asDict(True), ensure_ascii=False, indent=2, default=str)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
