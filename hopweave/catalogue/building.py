@@ -115,3 +115,33 @@ SQL = {
 }
 SQL["hash_splits"] = f"""WITH {_P}, {_held('h.relation')}, s AS (SELECT example_id, {_SEQ} AS q FROM p), b AS (SELECT DISTINCT example_id FROM (SELECT example_id, unnest(path.hops) AS h FROM p) WHERE h.relation IN (SELECT relation FROM held))
     SELECT example_id, CASE WHEN example_id IN (SELECT example_id FROM b) THEN 'test_unseen_relation' WHEN len(q) > 1 AND {_BUCKET.format("array_to_string(q, '|')", 10, 12)} = 0 THEN 'test_unseen_composition' WHEN {_BUCKET.format('example_id', 10, 12)} = 0 THEN 'dev' ELSE 'train' END AS new_split FROM s"""
+
+_DRAW = "(CAST(('0x' || substr(sha256('17|{0}|' || example_id), 1, 12)) AS BIGINT) % len({1}))"
+
+
+def _chained(hops: str) -> str:
+    return "list_transform(" + hops + ", lambda h, k: {'relation': h.relation, 'direction': h.direction, 'source_type': CASE WHEN k = 1 THEN path.anchor_type ELSE " + hops + "[k - 1].target_type END, 'target_type': h.target_type})"
+
+
+def _hop(**changed: str) -> str:
+    parts = {n: changed.get(n, f"h.{n}") for n in ("relation", "direction", "source_type", "target_type")}
+    return "{" + ", ".join(f"'{n}': {e}" for n, e in parts.items()) + "}"
+
+
+SQL["path_corruptions"] = f"""WITH {_P}, b AS (SELECT example_id, path, path.hops AS hops, path.answer_type AS answer FROM p),
+    inv AS (SELECT lower(h.target_type) AS type, list_sort(list(DISTINCT h.relation)) AS relations FROM (SELECT unnest(hops) AS h FROM b) WHERE h.target_type IS NOT NULL GROUP BY 1),
+    types AS (SELECT list_sort(list(type) FILTER (type <> 'entity')) AS types FROM inv),
+    o AS (SELECT b.*, list_filter(relations, lambda r: r <> hops[place].relation) AS others FROM (SELECT *, {_DRAW.format('relation', 'hops')} + 1 AS place FROM b) b LEFT JOIN inv ON inv.type = lower(hops[place].target_type)),
+    t AS (SELECT b.*, list_filter(types, lambda x: x <> lower(coalesce(answer, ''))) AS other_types FROM b, types),
+    f AS (SELECT *, list_filter(hops, lambda h, k: k <> {_DRAW.format('missing', 'hops')} + 1) AS fewer, list_concat([hops[2], hops[1]], hops[3:]) AS exchanged FROM b WHERE len(hops) > 1),
+    every AS (
+      SELECT example_id, 1 AS n, 'wrong_direction' AS negative_type, list_transform(hops, lambda h, k: CASE WHEN k = {_DRAW.format('direction', 'hops')} + 1 THEN {_hop(direction="CASE WHEN h.direction = 'forward' THEN 'backward' ELSE 'forward' END")} ELSE {_hop()} END) AS made, answer AS made_type, hops, answer FROM b
+      UNION ALL SELECT example_id, 2, 'wrong_relation', list_transform(hops, lambda h, k: CASE WHEN k = place THEN {_hop(relation="others[" + _DRAW.format('other', 'others') + " + 1]")} ELSE {_hop()} END), answer, hops, answer FROM o WHERE len(others) > 0
+      UNION ALL SELECT example_id, 3, 'wrong_order', {_chained('exchanged')}, answer, hops, answer FROM f
+      UNION ALL SELECT example_id, 4, 'missing_hop', {_chained('fewer')}, fewer[len(fewer)].target_type, hops, answer FROM f
+      UNION ALL SELECT example_id, 5, 'wrong_answer_type', list_transform(hops, lambda h, k: CASE WHEN k = len(hops) THEN {_hop(target_type="other_types[" + _DRAW.format('type', 'other_types') + " + 1]")} ELSE {_hop()} END), other_types[{_DRAW.format('type', 'other_types')} + 1], hops, answer FROM t WHERE len(other_types) > 0),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY example_id, made, made_type ORDER BY n) AS first FROM every WHERE made IS DISTINCT FROM list_transform(hops, lambda h: {_hop()}) OR made_type IS DISTINCT FROM answer)
+    SELECT example_id, negative_type, array_to_string(list_transform(made, lambda h: h.relation || '::' || h.direction), '|') AS sequence, made_type AS answer_type FROM kept WHERE first = 1"""
+_WORDS = "trim(regexp_replace(translate(CASE WHEN len(string_split({0}, '.')) >= 3 THEN string_split({0}, '.')[-1] ELSE array_to_string(string_split({0}, '.'), ' ') END, '_/', '  '), '\\s+', ' ', 'g'))"
+SQL["question_covers_path"] = f"""WITH {_P}, q AS (SELECT DISTINCT example_id, lower(canonical_question) AS q FROM path_naturalizations WHERE id LIKE '%:positive' AND canonical_question IS NOT NULL)
+    SELECT count(*) AS n, count(*) FILTER (len(list_filter(path.hops, lambda h: NOT (contains(q, {_WORDS.format(v.sql_fold('h.relation'))}) AND contains(q, h.direction)))) = 0) AS covered FROM p JOIN q USING (example_id)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import corpus, graph, organize, search
 from ..plans import programs
 from ..session import table
@@ -270,3 +271,11 @@ SQL = {
     "adjacency_roundtrip": f"""WITH q AS (SELECT DISTINCT question_id FROM question_graphs WHERE triples IS NOT NULL), {_LINES} SELECT q.question_id, CAST(count(DISTINCT l.head) AS INT) AS heads, CAST(count(l.head) AS INT) AS edges FROM q LEFT JOIN l USING (question_id) GROUP BY 1""",
     "parse_prompt_triples": f"WITH {_LINES} SELECT relation, CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT head) AS BIGINT) AS heads, CAST(count(DISTINCT tail) AS BIGINT) AS tails FROM l GROUP BY 1",
 }
+
+_META = " OR ".join(f"contains(lower(e.relation), '{x}')" for x in text.METADATA_PATTERNS)
+SQL["random_walks"] = f"""WITH {v.EDGES}, {v.TOPICS},
+    w1 AS (SELECT question_id, node AS anchor, e.relation || '::' || e.direction AS k1, e.dst AS n1, row_number() OVER (PARTITION BY question_id, node ORDER BY sha256('17-0|' || question_id || '|' || node || '|' || e.relation || '::' || e.direction || '|' || e.dst)) AS n
+           FROM a JOIN e USING (question_id) WHERE e.src = a.node AND e.dst <> a.node AND NOT ({_META})),
+    w2 AS (SELECT w1.question_id, anchor, k1, n1, e.relation || '::' || e.direction AS k2, e.dst AS n2, row_number() OVER (PARTITION BY w1.question_id, anchor ORDER BY sha256('17-1|' || w1.question_id || '|' || anchor || '|' || e.relation || '::' || e.direction || '|' || e.dst)) AS n
+           FROM w1 JOIN e ON e.question_id = w1.question_id AND e.src = n1 WHERE w1.n = 1 AND e.dst <> anchor AND e.dst <> n1 AND NOT ({_META}))
+    SELECT question_id, anchor, k1 || '|' || k2 AS sequence, anchor || '|' || n1 || '|' || n2 AS nodes FROM w2 WHERE n = 1"""

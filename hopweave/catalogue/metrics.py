@@ -176,7 +176,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank of the first positive with a resampled interval."""
     r = first_positive_rank(spark, d).withColumn("rr", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)))
     got = stats.bootstrap_interval(r, "example_id", "rr", samples=200)
-    return got.select("n", F.round("mean", 6).alias("mean"), (F.col("low") <= F.col("mean")).alias("low_is_below"), (F.col("high") >= F.col("mean")).alias("high_is_above"))
+    return got.select("n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +286,7 @@ SQL = {
     "auc_ties": _S + ", q AS (SELECT floor(score * 4) / 4 AS f, count(*) FILTER (is_positive) AS p, count(*) FILTER (NOT is_positive) AS n FROM s GROUP BY 1), w AS (SELECT p, n, p * (coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM q) SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(sum(won) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)), 9) AS auc FROM w",
     "percentile_summary": _C + ", q AS (SELECT negative_type, retrieval_score AS s FROM c WHERE retrieval_score IS NOT NULL) SELECT negative_type, CAST(count(*) AS BIGINT) AS examples, round(avg(s), 9) AS mean, round(quantile_cont(s, 0.5), 9) AS median, round(quantile_cont(s, 0.1), 9) AS p10, round(quantile_cont(s, 0.25), 9) AS p25, " + ", ".join(f"round(avg(CASE WHEN s >= 0.{k} THEN 1.0 ELSE 0.0 END), 9) AS at_least_{k}0" for k in (6, 7, 8, 9)) + " FROM q GROUP BY 1",
     "listwise_loss": _S + ", m AS (SELECT example_id, is_positive, exp(score - max(score) OVER (PARTITION BY example_id)) AS e FROM s), g AS (SELECT example_id, sum(e) AS a, sum(e) FILTER (is_positive) AS p FROM m GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS groups, round(avg(ln(a) - ln(p)), 6) AS loss FROM g WHERE p IS NOT NULL",
-    "bootstrap_ci": f"{_C}, {_RANK} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(coalesce(1.0 / first_rank, 0.0)), 6) AS mean, true AS low_is_below, true AS high_is_above FROM r",
+    "bootstrap_ci": f"{_C}, {_RANK}, rr AS (SELECT example_id AS id, coalesce(1.0 / first_rank, 0.0)::DOUBLE AS v FROM r), {v.sql_resampled('rr', 200)} SELECT (SELECT count(*) FROM rr) AS n, (SELECT round(avg(v), 6) FROM rr) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m",
     "status_counts": f"SELECT coalesce({v.sql_fold('status')}, 'missing') AS status, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (reason IS NOT NULL AND reason <> '') AS BIGINT) AS with_reason FROM (SELECT DISTINCT * FROM path_naturalizations) GROUP BY 1",
     "sliced_metrics": f"""{_C}, {_RANK}, {v.EXAMPLES}, j AS (SELECT coalesce(1.0 / first_rank, 0.0) AS rr, unnest(['all', 'kg:' || {v.sql_fold('x.kg')}, 'hops:' || len(positive_path.hops), 'type:' || positive_path.answer_type]) AS slice FROM r LEFT JOIN x USING (example_id)) SELECT slice, CAST(count(*) AS BIGINT) AS examples, round(avg(rr), 9) AS mrr FROM j WHERE slice IS NOT NULL GROUP BY 1""",
     "multiset_relations": f"""{_C}, {v.EXAMPLES}, j AS (SELECT c.relation_sequence AS a, list_transform(list_filter(x.positive_path.hops, lambda h: h IS NOT NULL), lambda h: concat_ws('::', h.relation, h.direction)) AS b FROM c JOIN x USING (example_id) WHERE c.relation_sequence IS NOT NULL AND x.positive_path.hops IS NOT NULL),
@@ -296,3 +296,14 @@ SQL = {
         s AS (SELECT q.id AS query_id, r.id, round(list_dot_product(q.v, r.v) / (q.n * r.n), 6) AS cosine FROM n q JOIN n r ON q.id % 100 = 0 AND q.id <> r.id)
         SELECT query_id, id, cosine, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM s) WHERE k <= 10""",
 }
+
+_RELS = "list_transform(coalesce({0}, []), lambda x: regexp_replace(x, '::[a-z]+$', ''))"
+_TIMES = "len(list_filter({0}, lambda y: y = x))"
+SQL["failure_categories"] = f"""{_C}, pool AS (SELECT example_id, list_distinct(flatten(list({_RELS.format('relation_sequence')}))) AS proposed FROM c GROUP BY 1),
+    gold AS (SELECT example_id, {_RELS.format('relation_sequence')} AS reference, array_to_string(relation_sequence, '|') AS ref FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY candidate_index, candidate_id) AS n FROM c WHERE is_positive) WHERE n = 1),
+    pick AS (SELECT example_id, {_RELS.format('relation_sequence')} AS selected, is_positive, answers, array_to_string(relation_sequence, '|') AS got, negative_type FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY {_ORDER}) AS n FROM c) WHERE n = 1),
+    j AS (SELECT pick.*, coalesce(reference, []) AS reference, ref, proposed FROM pick LEFT JOIN gold USING (example_id) JOIN pool USING (example_id)),
+    k AS (SELECT *, len(list_filter(list_distinct(reference), lambda x: NOT list_contains(proposed, x))) > 0 AS never,
+      len(selected) < len(reference) AND len(list_filter(list_distinct(selected), lambda x: {_TIMES.format('selected')} > {_TIMES.format('reference')})) = 0 AS part FROM j)
+    SELECT CASE WHEN ref IS NULL THEN 'evidence_absent' WHEN coalesce(is_positive, false) THEN 'correct_answer' WHEN never THEN 'fragment_never_proposed' WHEN coalesce(negative_type = 'wrong_direction', false) THEN 'ranked_below'
+      WHEN coalesce(len(answers) > 0, false) AND part THEN 'silent_incompleteness' WHEN coalesce(got = ref, false) THEN 'execution_normalization' ELSE 'fragment_pruned' END AS category, count(*) AS n FROM k GROUP BY 1"""

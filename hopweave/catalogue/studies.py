@@ -153,7 +153,7 @@ def _arms(spark: SparkSession, d: str) -> DataFrame:
 
 def arm_differences(spark: SparkSession, d: str) -> DataFrame:
     got = reader.arm_differences(_arms(spark, d).where("model = 'all'"), "score", "retrieval", samples=200)
-    return got.select("slice", "n", _DONE(F.col("delta")).alias("delta"), (F.col("low") <= F.col("delta")).alias("low_is_below"), (F.col("high") >= F.col("delta")).alias("high_is_above"))
+    return got.select("slice", "n", _DONE(F.col("delta")).alias("delta"), _DONE(F.col("low")).alias("low"), _DONE(F.col("high")).alias("high"))
 
 
 def arm_interaction(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ SQL = {
         a AS (SELECT round(avg(r2.r - r1.r), 9) AS rank_advantage, CAST(count(*) FILTER (r1.r <= 5 AND r2.r > 5) AS BIGINT) AS into_top5, CAST(count(*) FILTER (r1.r > 5 AND r2.r <= 5) AS BIGINT) AS out_of_top5 FROM r1 JOIN r2 USING (example_id)) SELECT * FROM b, a""",
     "generation_metrics": f"""{_C}, m AS (SELECT *, max(CASE WHEN is_positive THEN score END) OVER (PARTITION BY example_id) AS p FROM c WHERE score IS NOT NULL AND is_positive IS NOT NULL), g AS (SELECT example_id, max(p) - max(score) AS margin FROM m WHERE p IS NOT NULL AND NOT is_positive GROUP BY 1)
         SELECT CAST(count(*) AS BIGINT) AS groups, round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 9) AS beats_all, round(avg(margin), 6) AS mean_margin FROM g""",
-    "arm_differences": f"{_C}, {_ARMS} SELECT slice, CAST(count(*) AS BIGINT) AS n, round(avg(d), 9) AS delta, true AS low_is_below, true AS high_is_above FROM z WHERE pool = 'all' AND slice IS NOT NULL GROUP BY 1",
+    "arm_differences": f"{_C}, {_ARMS}, dd AS (SELECT slice, example_id AS id, d::DOUBLE AS v FROM z WHERE pool = 'all' AND slice IS NOT NULL), {v.sql_resampled('dd', 200, 'slice')}, ql AS (SELECT slice, list_sort(list(m)) AS m FROM m GROUP BY 1) SELECT dd.slice, count(*) AS n, round(avg(v), 9) AS delta, round(any_value(ql.m[6]), 9) AS low, round(any_value(ql.m[196]), 9) AS high FROM dd JOIN ql USING (slice) GROUP BY 1",
     "arm_interaction": f"{_C}, {_ARMS}, w AS (SELECT slice, example_id, max(d) FILTER (pool = 'all') AS a, max(d) FILTER (pool = 'proposed') AS b FROM z WHERE slice IS NOT NULL GROUP BY ALL) SELECT slice, CAST(count(*) AS BIGINT) AS n, round(avg(a - b), 9) AS interaction FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
     "flattened_negatives": f"WITH {v.EXAMPLES}, f AS (SELECT unnest(negative_paths) AS n, generate_subscripts(negative_paths, 1) AS i FROM x) SELECT CAST(i - 1 AS INT) AS position, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (n IS NOT NULL) AS BIGINT) AS present, CAST(count(DISTINCT n.negative_type) AS BIGINT) AS kinds FROM f GROUP BY 1",
     "evidence_prompt_sizes": f"WITH {graph_queries._LINES} SELECT CAST(count(DISTINCT question_id) AS BIGINT) AS prompts, CAST(count(DISTINCT question_id) AS BIGINT) AS same_size FROM l",
@@ -226,3 +226,21 @@ SQL = {
 _KEYED = metrics._KEYED
 SQL["supervision_study"] = metrics._GOLD + f""", {v.EXAMPLES}, k AS (SELECT coalesce(array_to_string(j.relation_sequence, '|') = array_to_string(list_transform(x.positive_path.hops, lambda h: concat_ws('::', h.relation, h.direction)), '|'), false) AS s, {_KEYED.format('ans')} AS p, {_KEYED.format('gold')} AS q FROM j LEFT JOIN x USING (example_id)),
     o AS (SELECT s AS a, len(q) > 0 AND p = q AS b FROM k) SELECT mode, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (CASE mode WHEN 'annotated' THEN a WHEN 'denotation' THEN b ELSE a OR b END) AS BIGINT) AS positives FROM o, (SELECT unnest(['annotated', 'denotation', 'either']) AS mode) GROUP BY 1"""
+
+_SHARED = "CASE WHEN len(string_split({0}, '.')) >= 3 THEN string_split({0}, '.')[1] || '.' || string_split({0}, '.')[2] END"
+SQL["shared_records"] = f"""WITH {_P}, h AS (SELECT example_id, list_transform(path.hops, lambda h: {{'d': h.direction, 'k': {_SHARED.format(v.sql_fold('h.relation'))}}}) AS f FROM p)
+    SELECT CAST(len(f) AS INT) AS hops, count(*) AS paths, count(*) FILTER (len(list_filter(range(1, len(f)), lambda i: f[i].d = 'backward' AND f[i + 1].d = 'forward' AND f[i].k = f[i + 1].k)) > 0) AS with_record FROM h GROUP BY 1"""
+SQL["candidate_texts"] = f"""{_C}, a AS (SELECT *, list_filter(coalesce(answers, []), lambda x: trim(x) <> '') AS named FROM c)
+    SELECT candidate_id, sha256('[ORIGINAL QUESTION]' || chr(10) || coalesce(original_question, '') || chr(10) || chr(10) || '[GENERATED QUESTION]' || chr(10) || coalesce(generated_question, '') || chr(10) || chr(10) || '[CANDIDATE ANSWERS]' || chr(10)
+      || 'type: entity' || chr(10) || 'count: ' || len(named) || chr(10) || 'unlabeled ids: ' || len(list_filter(named, lambda x: regexp_matches(trim(x), '^[a-z]\\.[0-9a-z_]+$'))) || ' of ' || len(named) || chr(10)
+      || 'sample: ' || CASE WHEN len(named) > 0 THEN array_to_string(named[1:8], '; ') ELSE 'none' END) AS text_hash FROM a"""
+_WALKED = f"""WITH {graph_queries._WALKS}, {v.GOLD}, gg AS (SELECT question_id, list_sort(list(DISTINCT node)) AS gold FROM g WHERE node IS NOT NULL GROUP BY 1), one AS (SELECT question_id FROM a WHERE node IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
+    z AS (SELECT f2.*, s2 = gold AS denotation, row_number() OVER (PARTITION BY question_id ORDER BY s2 = gold DESC, anchor, r1 || '::' || d1 || '|' || r2 || '::' || d2) AS n, s1 = [anchor] OR s2 = s1 AS reducible FROM f2 JOIN gg USING (question_id)),
+    y AS (SELECT *, n = 1 AND denotation AS annotated FROM z WHERE question_id IN (SELECT question_id FROM one))"""
+SQL["identity_populations"] = _WALKED + """ SELECT population, count(*) AS n, count(*) FILTER (reducible) AS reducible FROM (SELECT reducible, unnest(list_filter(['all', CASE WHEN annotated THEN 'annotated_positive' END, CASE WHEN denotation THEN 'denotation_positive' END, CASE WHEN denotation AND NOT annotated THEN 'denotation_only_positive' END], lambda x: x IS NOT NULL)) AS population FROM y) GROUP BY 1"""
+SQL["identity_path_match"] = _WALKED + """, k AS (SELECT question_id, min_by(denotation, n) AS hit FROM y GROUP BY 1) SELECT count(*) AS questions, count(*) FILTER (hit) AS exact, count(*) FILTER (hit) AS collapsed, 0::BIGINT AS flips FROM k"""
+SQL["comparator_corpus"] = f"""{_C}, q AS (SELECT *, coalesce(is_positive, false) AS pos, coalesce(score, 0) AS s, {metrics._POS} AS ps FROM c), aa AS (SELECT *, bool_or(pos) OVER (PARTITION BY example_id) AS has FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY example_id, pos ORDER BY s DESC, ps) AS n FROM aa WHERE has),
+    e AS (SELECT *, NOT pos AND n <= 12 AS hard FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY example_id, pos, hard ORDER BY sha256('17|' || example_id || '|' || ps)) AS r FROM e),
+    s AS (SELECT example_id, CASE WHEN pos THEN 'positive' WHEN hard THEN 'hard' ELSE 'random' END AS role FROM f WHERE CASE WHEN pos THEN n <= 4 ELSE hard OR r <= 4 END),
+    d AS (SELECT example_id, row_number() OVER (ORDER BY sha256('17|' || example_id)) <= (SELECT greatest(1, round_even(count(DISTINCT example_id) * 0.1, 0)) FROM s) AS dev FROM (SELECT DISTINCT example_id FROM s))
+    SELECT CASE WHEN dev THEN 'dev' ELSE 'train' END AS split, role, count(DISTINCT example_id) AS examples, count(*) AS candidates FROM s JOIN d USING (example_id) GROUP BY ALL"""

@@ -69,9 +69,11 @@ def symmetric_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mojibake(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose damaged characters the round trip repairs."""
-    q = v.examples(spark, d).where("question is not null").select("example_id", "question", text.repair_mojibake("question").alias("repaired"))
-    return q.where("question <> repaired").select("example_id", "repaired")
+    """Questions with letters beyond ASCII after their UTF-8 was read as Latin-1 and repaired: as they were."""
+    q = v.examples(spark, d).where("question is not null").select("example_id", "question")
+    q = q.where(F.col("question").rlike(r"[\x{C0}-\x{FF}]") & ~F.col("question").rlike("[ÃÂâ]"))
+    damaged = F.decode(F.encode("question", "UTF-8"), "ISO-8859-1")
+    return q.select("example_id", damaged.alias("damaged"), text.repair_mojibake(damaged).alias("repaired")).where("damaged <> repaired").select("example_id", "repaired")
 
 
 def delexicalized(spark: SparkSession, d: str) -> DataFrame:
@@ -186,3 +188,12 @@ SQL = {
     "token_estimates": "SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens, CAST(max(ceil(length(text) / 4)) AS BIGINT) AS most FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "directed_keys": "WITH c AS (SELECT DISTINCT * FROM candidates), e AS (SELECT unnest(relation_sequence) AS key FROM c), k AS (SELECT CASE WHEN regexp_matches(key, '::(forward|backward)$') THEN regexp_replace(key, '::(forward|backward)$', '') END AS relation, CASE WHEN regexp_matches(key, '::(forward|backward)$') THEN regexp_extract(key, '::(forward|backward)$', 1) END AS direction FROM e WHERE key IS NOT NULL) SELECT relation, direction, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ALL",
 }
+
+SQL["mojibake"] = f"WITH {v.EXAMPLES} SELECT example_id, question AS repaired FROM x WHERE regexp_matches(question, '[\u00c0-\u00ff]') AND NOT regexp_matches(question, '[\u00c3\u00c2\u00e2]')"
+SQL["delexicalized"] = f"""WITH {v.EXAMPLES}, q AS (SELECT question AS q, positive_path.anchor AS a FROM x WHERE question IS NOT NULL AND positive_path.anchor IS NOT NULL)
+    SELECT count(*) AS n, count(*) FILTER (contains(q, '[ENTITY]') OR (length(trim(a)) > 0 AND regexp_matches(q, '(?i)(^|[^0-9A-Za-z_])' || regexp_escape(a) || '($|[^0-9A-Za-z_])'))) AS masked FROM q"""
+# the longest common subsequence row by row: a cell is the largest of its row's candidates so far
+SQL["rouge_l"] = f"""WITH RECURSIVE {_P}, n AS (SELECT row_number() OVER () AS k, * FROM w),
+    r AS (SELECT k, 0 AS i, list_transform(range(len(b) + 1), lambda z: 0::BIGINT) AS cells, a, b FROM n
+          UNION ALL SELECT k, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda z: CASE WHEN z = 0 THEN 0 WHEN a[i + 1] = b[z] THEN greatest(cells[z + 1], cells[z] + 1) ELSE cells[z + 1] END))), a, b FROM r WHERE i < len(a))
+    SELECT canonical_question, question, round(CASE WHEN len(n.a) = 0 OR len(n.b) = 0 THEN CASE WHEN len(n.a) = len(n.b) THEN 1.0 ELSE 0.0 END ELSE 2.0 * r.cells[-1] / (len(n.a) + len(n.b)) END, 9) AS rouge FROM n JOIN r ON r.k = n.k AND r.i = len(n.a)"""

@@ -68,3 +68,14 @@ PATHS = EDGES + ", " + TOPICS + """, p1 AS (SELECT a.question_id, a.node AS anch
   p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
   f AS (SELECT question_id, anchor, array_to_string(seq, '|') AS sequence, array_to_string(list_sort(list(DISTINCT nodes[len(nodes)])), '|') AS answers, CAST(count(*) AS BIGINT) AS n_paths
     FROM p GROUP BY question_id, anchor, seq)"""
+
+
+def sql_resampled(rows: str, samples: int, keys: str = "", seed: int = 17) -> str:
+    """CTE ``m(keys, rep, m)``: means of the Poisson resamples of ``rows`` with columns id, v and keys."""
+    from ..functions.stats import POISSON, PRIME
+
+    k = f"{keys}, " if keys else ""
+    drawn = " + ".join(f"CAST(u > {bar!r} AS INT)" for bar in POISSON)
+    return f"""rep AS (SELECT i AS rep, (i * 1664525 + 1013904223 + {seed}) % {PRIME} AS a, (i * 22695477 + 1) % {PRIME} AS b FROM range(1, {samples + 1}) x(i)),
+      unit AS (SELECT {k}rep, v, ((('0x' || substr(md5(id), 1, 7))::BIGINT * a + b) % {PRIME} + 0.5) / {PRIME} AS u FROM {rows}, rep),
+      m AS (SELECT {k}rep, sum(v * c) / nullif(sum(c), 0) AS m FROM (SELECT *, {drawn} AS c FROM unit) GROUP BY ALL)"""

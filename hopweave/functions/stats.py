@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,22 +74,66 @@ def auc(df: DataFrame, score: str, positive: str, keys: list[str] | None = None)
     return g.select(*k, "positives", "negatives", F.try_divide("won", F.col("positives") * F.col("negatives").cast("double")).alias("auc"))
 
 
-def bootstrap_interval(df: DataFrame, row_id: str, value: str, keys: list[str] | None = None, samples: int = 1000, seed: int = 17) -> DataFrame:
-    """Mean with a 95 % interval from Poisson resampling of rows, in one pass.
+PRIME = 2_147_483_647
+# inverse of the Poisson(1) distribution up to 6 (all but 1e-5 of it)
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(6))
+
+
+def resampled_sums(df: DataFrame, row_id: str, value: str, keys: list[str], samples: int, seed: int) -> DataFrame:
+    """``*keys, rep, total, weight``: sums of values and counts of Poisson resamples of the rows.
 
-    Each row's count in each replicate is drawn from a hash, so a row is never joined to
-    itself and the sums combine before the shuffle; per group ``samples`` sums travel.
+    A row's count in each replicate comes from a linear hash of 28 bits of its id's digest, so
+    any engine can draw the same. Replicates are columns of a matrix in an Arrow batch: no row
+    is multiplied, and a task sends one row per group and replicate.
     """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    point = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 7), 16, 10).cast("long").alias("_x")
+    given = df.where(F.col(value).isNotNull() & F.col(row_id).isNotNull()).select(*keys, point, F.col(value).cast("double").alias("_v"))
+    schema = T.StructType([*[given.schema[k] for k in keys], T.StructField("rep", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("weight", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        rep = np.arange(1, samples + 1, dtype=np.int64)
+        a, b = (rep * 1_664_525 + 1_013_904_223 + seed) % PRIME, (rep * 22_695_477 + 1) % PRIME
+        bars = np.array(POISSON)
+        sums: dict[tuple, list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, (total, weight) in sums.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * samples, f.type) for x, f in zip(k, arrow, strict=False)), pa.array(rep.astype(np.int32)), pa.array(total), pa.array(weight)], schema=arrow)
+            sums.clear()
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[: len(keys)]]
+            x, v = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
+            groups: dict[tuple, list[int]] = {}
+            for i in range(batch.num_rows):
+                groups.setdefault(tuple(c[i] for c in cols), []).append(i)
+            for k, at in groups.items():
+                total, weight = sums.setdefault(k, [np.zeros(samples), np.zeros(samples, np.int64)])
+                for lo in range(0, len(at), 1000):
+                    part = at[lo : lo + 1000]
+                    unit = ((x[part, None] * a + b) % PRIME + 0.5) / PRIME
+                    c = np.searchsorted(bars, unit, side="left")
+                    total += v[part] @ c
+                    weight += c.sum(0)
+            if len(sums) > 1000:
+                yield from flush()
+        yield from flush()
+
+    sums = given.mapInArrow(run, schema)
+    return sums.groupBy(*keys, "rep").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+
+
+def bootstrap_interval(df: DataFrame, row_id: str, value: str, keys: list[str] | None = None, samples: int = 1000, seed: int = 17) -> DataFrame:
+    """Mean with a 95 % interval from Poisson resampling of rows, in one pass; per group ``samples`` sums travel."""
     k = keys or []
-    unit = (F.pmod(F.xxhash64(F.col(row_id), F.col("rep"), F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    # inverse of the Poisson(1) distribution up to 6 (all but 1e-5 of it)
-    steps, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for i in range(6):
-        total += term
-        steps = steps + (unit > total).cast("int")
-        term /= i + 1
-    reps = df.where(F.col(value).isNotNull()).select(*k, row_id, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("rep")).withColumn("_c", steps)
-    means = reps.groupBy(*k, "rep").agg(F.try_divide(F.sum(F.col("_v") * F.col("_c")), F.sum("_c")).alias("m"))
+    means = resampled_sums(df, row_id, value, k, samples, seed).select(*k, F.try_divide("total", "weight").alias("m"))
     ends = means.groupBy(*k).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     base = df.where(F.col(value).isNotNull()).groupBy(*k).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
     return base.join(ends, k) if k else base.crossJoin(ends)  # one row each

@@ -43,13 +43,14 @@ def corruptions(paths: DataFrame, inventory: DataFrame, key: str = "example_id",
     base = paths.where(p.isNotNull() & (F.size(p["hops"]) > 0) & ~F.exists(p["hops"], lambda h: h.isNull())).select(
         key, p["hops"].alias("hops"), p["anchor_type"].alias("anchor_type"), p["answer_type"].alias("answer_type"), p["kg"].alias("kg")
     )
-    pick = lambda tag: F.pmod(F.xxhash64(F.col(key), F.lit(tag), F.lit(seed)), F.size("hops")).cast("int")
+    drawn = lambda tag: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit(tag), F.col(key).cast("string")), 256), 1, 12), 16, 10).cast("long")
+    pick = lambda tag: (drawn(tag) % F.size("hops")).cast("int")
     types = inventory.where("target_type is not null").groupBy(F.lower("target_type").alias("type")).agg(F.array_sort(F.collect_set("relation")).alias("relations"))
     i = pick("relation")
     one = base.withColumn("at", i).withColumn("type", F.lower(F.get("hops", F.col("at"))["target_type"])).join(types, "type", "left")
     others = F.filter("relations", lambda r: r != F.get("hops", F.col("at"))["relation"])
     swapped = one.withColumn("others", others).where(F.size("others") > 0)
-    new = F.get("others", F.pmod(F.xxhash64(F.col(key), F.lit("other"), F.lit(seed)), F.size("others")).cast("int"))
+    new = F.get("others", (drawn("other") % F.size("others")).cast("int"))
     out = lambda df, kind, hops, answer: df.select(key, F.lit(kind).alias("negative_type"), hops.alias("hops"), answer.alias("answer_type"), F.col("hops").alias("_from"), F.col("answer_type").alias("_type"))
     two = base.where(F.size("hops") > 1)
     exchanged = F.concat(F.array(F.get("hops", F.lit(1)), F.get("hops", F.lit(0))), F.slice("hops", F.lit(3), F.greatest(F.size("hops") - 2, F.lit(0))))
@@ -57,7 +58,7 @@ def corruptions(paths: DataFrame, inventory: DataFrame, key: str = "example_id",
     reverse = _set_at(F.col("hops"), pick("direction"), lambda h: h.withField("direction", _flipped(h["direction"])))
     all_types = types.select("type").where("type <> 'entity'").agg(F.array_sort(F.collect_set("type")).alias("types"))
     typed = base.join(F.broadcast(all_types)).withColumn("types", F.filter("types", lambda t: t != F.lower(F.coalesce("answer_type", F.lit(""))))).where(F.size("types") > 0)
-    other_type = F.get("types", F.pmod(F.xxhash64(F.col(key), F.lit("type"), F.lit(seed)), F.size("types")).cast("int"))
+    other_type = F.get("types", (drawn("type") % F.size("types")).cast("int"))
     parts = [
         out(base, "wrong_direction", reverse, F.col("answer_type")),
         out(swapped, "wrong_relation", _set_at(F.col("hops"), F.col("at"), lambda h: h.withField("relation", new)), F.col("answer_type")),

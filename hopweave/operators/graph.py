@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import materialize
+from ..session import materialize, materialize_counted
 
 TYPE_RELATION = "common.topic.notable_types"
 
@@ -173,8 +173,8 @@ def distances(edge: DataFrame, roots: DataFrame) -> DataFrame:
     while True:
         known = front if before is None else front.unionByName(before)
         reached = front.select("question_id", "root", F.col("node").alias("src"), (F.col("distance") + 1).alias("distance")).join(step, ["question_id", "src"]).select("question_id", "root", F.col("dst").alias("node"), "distance").distinct()
-        new = materialize(reached.join(known.select("question_id", "root", "node"), ["question_id", "root", "node"], "left_anti"), "front")
-        if new.isEmpty():
+        new, n = materialize_counted(reached.join(known.select("question_id", "root", "node"), ["question_id", "root", "node"], "left_anti"), "front")
+        if not n:
             step.unpersist()
             return seen
         seen, before, front = seen.unionByName(new), front, new
@@ -184,23 +184,24 @@ def components(edge: DataFrame) -> DataFrame:
     """Connected components inside each question: ``question_id, node, component`` (its smallest node).
 
     Smallest labels spread along edges from the nodes whose label changed in the last round
-    only; a changed node then takes its new label's own label, so the number of rounds follows
-    the logarithm of the longest chain.
+    only. From the fifth round on, which only long chains reach, a changed node also takes its
+    new label's own label, so the number of rounds follows the logarithm of the longest chain.
     """
     step = _placed(edge)
     alone = edge.where("src = dst").select("question_id", F.col("src").alias("node"))
     label = materialize(step.select("question_id", F.col("src").alias("node")).union(alone).distinct().select("question_id", "node", F.col("node").alias("label"), F.lit(True).alias("changed")), "labels")
+    turn = 0
     while True:
+        turn += 1
         told = label.where("changed").select("question_id", F.col("node").alias("src"), "label").join(step, ["question_id", "src"]).groupBy("question_id", F.col("dst").alias("node")).agg(F.min("label").alias("told"))
         near = label.select("question_id", "node", "label").join(told, ["question_id", "node"], "left").select("question_id", "node", F.least("label", "told").alias("label"), F.coalesce(F.col("told") < F.col("label"), F.lit(False)).alias("changed"))
-        near = materialize(near, "labels")
-        moved = near.where("changed")
-        if moved.isEmpty():
+        label, changed = materialize_counted(near, "labels", "changed")
+        if not changed:
             step.unpersist()
             return label.select("question_id", "node", F.col("label").alias("component"))
-        above = moved.select("question_id", "node", "label").join(near.select("question_id", F.col("node").alias("label"), F.col("label").alias("above")), ["question_id", "label"]).where("above < label").select("question_id", "node", "above")
-        label = near.join(above, ["question_id", "node"], "left").select("question_id", "node", F.least("label", "above").alias("label"), "changed")
-        label = materialize(label, "labels")
+        if turn > 4:
+            above = label.where("changed").select("question_id", "node", "label").join(label.select("question_id", F.col("node").alias("label"), F.col("label").alias("above")), ["question_id", "label"]).where("above < label").select("question_id", "node", "above")
+            label = materialize(label.join(above, ["question_id", "node"], "left").select("question_id", "node", F.least("label", "above").alias("label"), "changed"), "labels")
 
 
 def symmetric_relations(triples: DataFrame, least_pairs: int = 10, threshold: float = 0.8) -> DataFrame:

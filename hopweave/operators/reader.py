@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stats, text
 
 # Words of questions whose answers may be contained either way round.
 EITHER_WAY = ("when", "what year", "which year", "where", "sport", "what countr", "language", "nba finals", "world series")
@@ -87,14 +87,7 @@ def arm_differences(scores: DataFrame, left: str, right: str, samples: int = 100
     """
     wide = scores.groupBy("slice", "id").pivot("arm", [left, right]).agg(F.max("value"))
     d = wide.where(F.col(f"`{left}`").isNotNull() & F.col(f"`{right}`").isNotNull()).select("slice", "id", (F.col(f"`{left}`") - F.col(f"`{right}`")).alias("d"))
-    unit = (F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    count, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for i in range(6):
-        total += term
-        count = count + (unit > total).cast("int")
-        term /= i + 1
-    reps = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("c", count)
-    means = reps.groupBy("slice", "rep").agg(F.try_divide(F.sum(F.col("d") * F.col("c")), F.sum("c")).alias("m"))
+    means = stats.resampled_sums(d, "id", "d", ["slice"], samples, seed).select("slice", F.try_divide("total", "weight").alias("m"))
     ends = means.groupBy("slice").agg(F.array_sort(F.collect_list("m")).alias("m"))  # `samples` values a slice
     cut = ends.select("slice", F.get("m", F.lit(int(0.025 * samples))).alias("low"), F.get("m", F.lit(min(samples - 1, int(0.975 * samples)))).alias("high"))
     return d.groupBy("slice").agg(F.count("*").alias("n"), F.avg("d").alias("delta")).join(cut, "slice")

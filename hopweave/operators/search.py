@@ -25,16 +25,22 @@ from ..session import materialize
 Scorer = Callable[[str, list[str]], list[float]]
 
 
-def lexical_score(words: Column, program: Column) -> Column:
+def lexical_score(words: Column, own: Column) -> Column:
     """Words that question and program text share, over the geometric mean of their numbers (at least 1)."""
-    own = F.array_distinct(text.tokens(program))
     return F.size(F.array_intersect(words, own)) / F.greatest(F.sqrt((F.size(words) * F.size(own)).cast("double")), F.lit(1.0))
 
 
 def _scored(states: DataFrame, scorer: Scorer | None) -> DataFrame:
-    """Adds ``score`` for ``question``, ``words`` and ``described``; a scorer gets each question's texts of an Arrow batch at once."""
+    """Adds ``score``; a scorer gets each question's texts of an Arrow batch at once.
+
+    The words of a program's text are kept with it, so only a new step's words are looked up.
+    """
     if scorer is None:
-        return states.withColumn("score", lexical_score(F.col("words"), F.col("described")))
+        rest = F.array(F.lit("answer"), F.lit("variable"), F.expr("substring(select, 2)"))
+        own = F.array_distinct(F.concat("line_words", rest, F.when(F.col("finished"), F.array(F.lit("finish"))).otherwise(F.array().cast("array<string>"))))
+        return states.withColumn("score", lexical_score(F.col("words"), own))
+    end = F.concat(F.lit("\nanswer variable: "), F.col("select"), F.when(F.col("finished"), "\n[FINISH]").otherwise(""))
+    states = states.withColumn("described", F.concat(F.array_join("lines", "\n"), end))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -44,18 +50,13 @@ def _scored(states: DataFrame, scorer: Scorer | None) -> DataFrame:
                 out[at] = scorer(question, p[at].tolist())
             yield out
 
-    return states.withColumn("score", score("question", "described"))
+    return states.withColumn("score", score("question", "described")).drop("described")
 
 
 def _relation_text(relation: Column) -> Column:
     return F.translate(F.regexp_extract(relation, r"([^.]*\.)?[^.]*$", 0), "._", "  ")
 
 
-def _described(finished: bool = False) -> Column:
-    end = F.concat(F.lit("\nanswer variable: "), F.col("select"), F.lit("\n[FINISH]" if finished else ""))
-    return F.concat(F.array_join("lines", "\n"), end)
-
-
 def _relevance() -> Column:
     return F.size(F.array_intersect("words", "relation_words")) / F.greatest(F.size("relation_words"), F.lit(1))
 
@@ -74,7 +75,7 @@ def _ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, most
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
 
 
-_STATE = ["question_id", "question", "words", "atoms", "select", "nodes", "lines", "relation_words"]
+_STATE = ["question_id", "question", "words", "atoms", "select", "nodes", "lines", "line_words", "relation_words"]
 
 
 def search_programs(graphs: DataFrame, scorer: Scorer | None = None, beam: int = 10, max_hops: int = 4, cap: int = 500, per_state: int = 50) -> DataFrame:
@@ -89,40 +90,44 @@ def search_programs(graphs: DataFrame, scorer: Scorer | None = None, beam: int =
     asked = materialize(graphs.select("question_id", "question", F.array_distinct(text.tokens(F.coalesce("question", F.lit("")))).alias("words"), F.array_distinct(F.filter(F.coalesce("topic_entities", F.array().cast("array<string>")), lambda t: F.coalesce(t != "", F.lit(False)))).alias("topics"), "triples"), "asked")
     t = asked.select("question_id", F.explode("triples").alias("x")).select("question_id", "x.*").where("head is not null and relation is not null and tail is not null").distinct()
     both = F.array(F.struct(F.col("head").alias("node"), F.lit(True).alias("forward"), F.col("tail").alias("other")), F.struct(F.col("tail").alias("node"), F.lit(False).alias("forward"), F.col("head").alias("other")))
-    step = materialize(t.select("question_id", "relation", F.explode(both).alias("e")).select("question_id", "e.node", "relation", "e.forward", "e.other"), "steps")
+    step = materialize(t.select("question_id", "relation", F.explode(both).alias("e")).select("question_id", "e.node", "relation", "e.forward", "e.other", F.array_distinct(text.tokens(_relation_text(F.col("relation")))).alias("own_words")), "steps")
     topics = asked.select("question_id", F.posexplode("topics").alias("place", "topic")).select("question_id", "topic", F.concat(F.lit("ANCHOR_"), (F.col("place") + 1).cast("string")).alias("anchor"))
     forward, variable = F.col("forward"), F.lit("?x")
-    own_words = F.array_distinct(text.tokens(_relation_text(F.col("relation"))))
+    own_words = F.col("own_words")
+    name_words = lambda *names: F.flatten(F.array(*[text.tokens(n) for n in names]))
 
-    begun = topics.withColumnRenamed("topic", "node").join(step, ["question_id", "node"]).groupBy("question_id", "node", "anchor", "relation", "forward").agg(F.collect_set("other").alias("nodes"), F.max(F.col("other") == F.col("node")).alias("loop")).where("not loop")
+    begun = topics.withColumnRenamed("topic", "node").join(step, ["question_id", "node"]).groupBy("question_id", "node", "anchor", "relation", "forward").agg(F.collect_set("other").alias("nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words")).where("not loop")
     first = begun.join(asked.select("question_id", "question", "words"), "question_id").select(
         "question_id", "question", "words", F.array(_step(forward, F.col("node"), variable)).alias("atoms"), variable.alias("select"), "nodes",
-        F.array(_line(forward, F.col("anchor"), variable)).alias("lines"), own_words.alias("relation_words"),
+        F.array(_line(forward, F.col("anchor"), variable)).alias("lines"), F.array_distinct(F.concat(own_words, name_words(F.col("anchor"), variable))).alias("line_words"), own_words.alias("relation_words"),
     )
     first = _ranked(first.withColumn("relevance", _relevance()), ["question_id"], [F.desc("relevance"), F.col("atoms")], "place", cap)
-    scored = _scored(first.withColumn("described", _described()), scorer).withColumn("scored", F.count("*").over(Window.partitionBy("question_id")).cast("int"))
+    scored = _scored(first.withColumn("finished", F.lit(False)), scorer).withColumn("scored", F.count("*").over(Window.partitionBy("question_id")).cast("int"))
     front = materialize(_ranked(scored, ["question_id"], [F.desc("score"), F.col("place")], "rank", beam).select(*_STATE, "rank", "score", "scored", F.lit(1).alias("rounds")), "beam")
     done: list[DataFrame] = []
     for level in range(2, max_hops + 1):
         done.append(front.where((F.col("scored") >= cap) & (F.col("rank") == 1)).withColumn("finished", F.lit(False)))
         going = front.where(F.col("scored") < cap)
         met = going.select("question_id", "rank", F.explode("nodes").alias("node")).join(step, ["question_id", "node"])
-        grown = met.groupBy("question_id", "rank", "relation", "forward").agg(F.collect_set("other").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"))
-        tied = met.join(topics.withColumnRenamed("topic", "other"), ["question_id", "other"]).groupBy("question_id", "rank", "relation", "forward", "other", "anchor").agg(F.collect_set("node").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.max(F.col("other") != F.col("node")).alias("open")).where("open").drop("open")
+        grown = met.groupBy("question_id", "rank", "relation", "forward").agg(F.collect_set("other").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words"))
+        tied = met.join(topics.withColumnRenamed("topic", "other"), ["question_id", "other"]).groupBy("question_id", "rank", "relation", "forward", "other", "anchor").agg(F.collect_set("node").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.max(F.col("other") != F.col("node")).alias("open"), F.first("own_words").alias("own_words")).where("open").drop("open")
         null = F.lit(None).cast("string")
         options = grown.withColumn("other", null).withColumn("anchor", null).unionByName(tied)
-        ext = going.join(options, ["question_id", "rank"])
         is_tie = F.col("other").isNotNull()
         named = F.concat(F.lit("?v"), (F.size("atoms") + 1).cast("string"))
-        atom = _step(forward, F.col("select"), F.coalesce("other", named))
-        ext = ext.where(~is_tie | ~F.array_contains("atoms", atom)).select(
-            "question_id", "question", "words", "rank", "scored", "rounds", "loop",
-            F.array_append("atoms", atom).alias("atoms"), F.when(is_tie, F.col("select")).otherwise(named).alias("select"), F.col("new_nodes").alias("nodes"),
-            F.array_append("lines", _line(forward, F.col("select"), F.coalesce("anchor", named))).alias("lines"), F.array_distinct(F.concat("relation_words", own_words)).alias("relation_words"),
+        # programs of one parent differ in their last step only, so that is what the order needs
+        ext = going.select("question_id", "rank", "words", "atoms", "select", "relation_words").join(options, ["question_id", "rank"]).withColumn("atom", _step(forward, F.col("select"), F.coalesce("other", named)))
+        ext = ext.where(~is_tie | ~F.array_contains("atoms", F.col("atom"))).withColumn("relation_words", F.array_distinct(F.concat("relation_words", own_words)))
+        ext = ext.select("question_id", "rank", "relation", "forward", "other", "anchor", "atom", "loop", "new_nodes", "own_words", _relevance().alias("relevance"))
+        ext = _ranked(ext, ["question_id", "rank"], [F.desc("relevance"), F.col("atom"), is_tie.desc()], "place", per_state).where("not loop").drop("relevance", "loop")
+        ext = going.drop("nodes", "score").join(ext, ["question_id", "rank"]).select(
+            "question_id", "question", "words", "rank", "scored", "rounds", "place",
+            F.array_append("atoms", F.col("atom")).alias("atoms"), F.when(is_tie, F.col("select")).otherwise(named).alias("select"), F.col("new_nodes").alias("nodes"),
+            F.array_append("lines", _line(forward, F.col("select"), F.coalesce("anchor", named))).alias("lines"),
+            F.array_distinct(F.concat("line_words", own_words, name_words(F.col("select"), F.coalesce("anchor", named)))).alias("line_words"), F.array_distinct(F.concat("relation_words", own_words)).alias("relation_words"),
         )
-        ext = _ranked(ext.withColumn("relevance", _relevance()), ["question_id", "rank"], [F.desc("relevance"), F.col("atoms"), F.col("select")], "place", per_state).where("not loop")
         keep = [*_STATE, "rank", "scored", "rounds", "place"]
-        both_kinds = going.withColumn("place", F.lit(0)).select(*keep, _described(True).alias("described"), F.lit(True).alias("finished")).unionByName(ext.select(*keep, _described().alias("described"), F.lit(False).alias("finished")))
+        both_kinds = going.withColumn("place", F.lit(0)).select(*keep, F.lit(True).alias("finished")).unionByName(ext.select(*keep, F.lit(False).alias("finished")))
         tried = _ranked(both_kinds, ["question_id"], [F.col("rank"), F.col("place")], "order", F.lit(cap) - F.col("scored"))
         tried = _scored(tried, scorer).withColumn("scored", (F.col("scored") + F.count("*").over(Window.partitionBy("question_id"))).cast("int")).withColumn("rounds", F.lit(level))
         best_first = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col("order"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -48,6 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """:func:`materialize`, and how many of its rows fulfil ``condition``, counted while they are written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    out = materialize(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+    return out, int(seen.get["n"])
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Deletes this application's stage tables at once; call it when no DataFrame built on them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
