@@ -51,7 +51,8 @@ def corruptions(paths: DataFrame, inventory: DataFrame, key: str = "example_id",
     others = F.filter("relations", lambda r: r != F.get("hops", F.col("at"))["relation"])
     swapped = one.withColumn("others", others).where(F.size("others") > 0)
     new = F.get("others", (drawn("other") % F.size("others")).cast("int"))
-    out = lambda df, kind, hops, answer: df.select(key, F.lit(kind).alias("negative_type"), hops.alias("hops"), answer.alias("answer_type"), F.col("hops").alias("_from"), F.col("answer_type").alias("_type"))
+    # the new columns get names of their own: one named "hops" would capture the old column's name inside lambdas
+    out = lambda df, kind, hops, answer: df.select(key, F.lit(kind).alias("negative_type"), hops.alias("_made"), answer.alias("_made_type"), F.col("hops").alias("_from"), F.col("answer_type").alias("_type"))
     two = base.where(F.size("hops") > 1)
     exchanged = F.concat(F.array(F.get("hops", F.lit(1)), F.get("hops", F.lit(0))), F.slice("hops", F.lit(3), F.greatest(F.size("hops") - 2, F.lit(0))))
     fewer = F.filter("hops", lambda _, k: k != pick("missing"))
@@ -69,6 +70,7 @@ def corruptions(paths: DataFrame, inventory: DataFrame, key: str = "example_id",
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
+    every = every.withColumnsRenamed({"_made": "hops", "_made_type": "answer_type"})
     same = F.to_json(F.struct(F.col("hops").alias("h"), F.col("answer_type").alias("a")))
     every = every.withColumn("_key", same).where(F.col("_key") != F.to_json(F.struct(F.col("_from").alias("h"), F.col("_type").alias("a"))))
     order = F.array_position(F.array(*map(F.lit, ("wrong_direction", "wrong_relation", "wrong_order", "missing_hop", "wrong_answer_type"))), F.col("negative_type"))
