@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Count, mean, median and lower percentiles (linear), shares at thresholds."""
@@ -133,6 +135,8 @@ def resampled_sums(df: DataFrame, row_id: str, value: str, keys: list[str], samp
 def bootstrap_interval(df: DataFrame, row_id: str, value: str, keys: list[str] | None = None, samples: int = 1000, seed: int = 17) -> DataFrame:
     """Mean with a 95 % interval from Poisson resampling of rows, in one pass; per group ``samples`` sums travel."""
     k = keys or []
+    # read twice below, so written once; joining both halves to one unstaged plan also lost rows in testing
+    df = materialize(df.select(*k, row_id, value), "resampled")
     means = resampled_sums(df, row_id, value, k, samples, seed).select(*k, F.try_divide("total", "weight").alias("m"))
     ends = means.groupBy(*k).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     base = df.where(F.col(value).isNotNull()).groupBy(*k).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
