@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import assembly, corpus, graph, pilot, ranking, requests, retrieval, runs
+from ..functions import render, text
+from ..operators import assembly, evidence, graph, pilot, ranking, requests, retrieval, runs
 from ..plans import programs
 from ..session import table
 from . import building, metrics, studies
@@ -161,12 +161,52 @@ def conj_self_loop(spark: SparkSession, d: str) -> DataFrame:
     """Nodes reached from the topic that the relation also joins to themselves."""
     r = "stagework.observatory.first_director"
     p = programs.Conjunctive("?x", (programs.Atom(programs.TOPIC, r, "?x"), programs.Atom("?x", r, "?x")))
-    return programs.run_conjunctive(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic")).answers
+    return programs.run_conjunctive(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic"), unique=True).answers
+
+
+def stratified_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Three hundred examples over the sides in proportion to their sizes, in turn by length and graph."""
+    x = v.examples(spark, d).where("positive_path is not null and kg is not null and split is not null")
+    side = F.regexp_extract(F.lower(F.trim("split")), "^(train|dev|test)", 1)
+    x = x.select("example_id", side.alias("side"), v.fold("kg").alias("kg"), F.coalesce(F.size("positive_path.hops"), F.lit(-1)).alias("hops"))
+    got = ranking.stratified_selection(x, "side", ["train", "dev", "test"], ["hops", "kg"], [F.sha2("example_id", 256)], 300)
+    return got.select("example_id", "side", F.col("place").cast("long").alias("place"))
+
+
+def adjudication_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Labels judged by scores above one and again by scores above 1.2."""
+    c = metrics._scored(spark, d).select("example_id", F.col("candidate_id").alias("position"), "is_positive", "score").withColumn("verdict", F.col("score") > 1)
+    picks = evidence.adjudication_picks(c, ["example_id"], 50)
+    _, counts = evidence.apply_adjudication(c.drop("verdict"), picks, c.select("example_id", "position", (F.col("score") > 1.2).alias("verdict")), ["example_id"])
+    return counts
+
+
+def represented_queries(spark: SparkSession, d: str) -> DataFrame:
+    q = studies._typed(spark, d).where(~F.exists("hops", lambda h: ~h["direction"].isin("forward", "backward"))).select("example_id", render.represent_query(F.col("hops")).alias("q"))
+    return q.select("example_id", F.array_join(F.transform("q.variables", lambda x: F.concat_ws(":", x["id"], x["type"])), " ").alias("variables"), F.size("q.facts").alias("facts"), "q.form", "q.answer", "q.answer_type")
+
+
+def compact_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Paths as required facts in the words of the glossary."""
+    p = studies._typed(spark, d).where(~F.exists("hops", lambda h: ~h["direction"].isin("forward", "backward"))).select("example_id", v.fold("path.kg").alias("kg"), "hops")
+    got = evidence.compact_queries(p, table(spark, d, "relation_glossary"))
+    return got.select("example_id", "query", _JOIN("unusable").alias("unusable"))
+
+
+def ceiling_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Best families against gold answers, by graph and status."""
+    f = graph.path_families(graph.edges(v.triples(spark, d)), v.topics(spark, d), 2)
+    x = f.select("question_id", F.concat_ws("|", "anchor", _JOIN("sequence")).alias("program_id"), F.lit(True).alias("compiled"), "answers", F.lit(False).alias("identity"))
+    g = v.gold(spark, d).groupBy("question_id").agg(F.array_sort(F.collect_set("node")).alias("gold"))
+    kinds = v.graphs(spark, d).select("question_id", v.fold("kg").alias("kind"))
+    got = evidence.ceiling_by_kind(evidence.ceiling(x, g), kinds)
+    return got.select("kind", "status", "questions", _DONE(F.col("f1")).alias("f1"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
+        stratified_by_split, adjudication_summary, represented_queries, compact_queries, ceiling_by_kind,
         executable_patterns, pattern_recall, best_families, gold_sequence_available, synthetic_corpus, assembled_examples, direction_examples, pool_fingerprints, answer_equivalent_paths,
         pair_means, pilot_sample, campaign_means, campaign_effects, campaign_interactions, naturalization_requests, parsed_results, margin, conj_self_loop,
     )
@@ -244,3 +284,25 @@ SQL = {
     "margin": f"""WITH {v.CANDIDATES}, r AS (SELECT example_id, candidate_id, score, row_number() OVER w AS n, lead(score) OVER w AS next FROM c WINDOW w AS (PARTITION BY example_id ORDER BY score DESC NULLS LAST, {metrics._POS})) SELECT example_id, candidate_id, round(coalesce(score - next, 0), 6) AS margin FROM r WHERE n = 1""",
     "conj_self_loop": f"WITH {v.TRIPLES}, {v.TOPICS} SELECT DISTINCT a.question_id, a.node AS topic, t1.tail AS answer FROM a JOIN t t1 ON t1.question_id = a.question_id AND t1.head = a.node AND t1.relation = 'stagework.observatory.first_director' JOIN t t2 ON t2.question_id = a.question_id AND t2.head = t1.tail AND t2.tail = t1.tail AND t2.relation = t1.relation",
 }
+_REL = studies._REL
+_OK = f"{building._P}, ok AS (SELECT example_id, path, list_transform(path.hops, lambda h: {{'r': {_REL.format('h')}, 'd': h.direction, 's': coalesce(nullif(h.source_type, ''), 'entity'), 't': coalesce(nullif(h.target_type, ''), 'entity')}}) AS f FROM p WHERE len(list_filter(path.hops, lambda h: h.direction NOT IN ('forward', 'backward'))) = 0)"
+SQL["represented_queries"] = f"""WITH {_OK} SELECT example_id, 'v0:' || f[1].s || ' ' || array_to_string(list_transform(f, lambda h, i: 'v' || i || ':' || h.t), ' ') AS variables, CAST(len(f) AS INT) AS facts,
+    array_to_string(list_transform(f, lambda h, i: h.r || '(v' || CASE WHEN h.d = 'forward' THEN i - 1 ELSE i END || ', v' || CASE WHEN h.d = 'forward' THEN i ELSE i - 1 END || ')'), ' AND ') || ' -> v' || len(f) AS form, 'v' || len(f) AS answer, f[-1].t AS answer_type FROM ok"""
+SQL["compact_queries"] = f"""WITH {_OK}, g AS (SELECT relation_key, any_value(status) AS status, any_value(description) AS description, any_value(fact_template) AS tpl FROM relation_glossary GROUP BY 1),
+    u AS (SELECT example_id, {v.sql_fold('path.kg')} AS kg, unnest(f) AS h, generate_subscripts(f, 1) AS i FROM ok),
+    w AS (SELECT *, CASE WHEN h.d = 'forward' THEN 'v' || (i - 1) || ' (type: ' || h.s || ')' ELSE 'v' || i || ' (type: ' || h.t || ')' END AS subject, CASE WHEN h.d = 'forward' THEN 'v' || i || ' (type: ' || h.t || ')' ELSE 'v' || (i - 1) || ' (type: ' || h.s || ')' END AS object FROM u),
+    l AS (SELECT example_id, i, 'F' || (i - 1) || ': ' || CASE WHEN regexp_matches(replace(replace(coalesce(tpl, ''), '{{subject}}', ''), '{{object}}', ''), '[{{}}]') THEN subject || ' -- ' || coalesce(description, 'unknown') || ' --> ' || object ELSE replace(replace(coalesce(tpl, ''), '{{subject}}', subject), '{{object}}', object) END AS line,
+      CASE WHEN status = 'semantic' THEN NULL ELSE h.r END AS bad FROM w LEFT JOIN g ON g.relation_key = concat_ws('::', kg, h.r)),
+    k AS (SELECT example_id, string_agg(line, chr(10) ORDER BY i) AS body, coalesce(string_agg(bad, '|' ORDER BY i), '') AS unusable FROM l GROUP BY 1)
+    SELECT example_id, 'Anchor: v0 = [ENTITY] (type: ' || f[1].s || ')' || chr(10) || 'Required facts:' || chr(10) || body || chr(10) || 'Return: v' || len(f) || ' (type: ' || f[-1].t || ')' AS query, unusable FROM k JOIN ok USING (example_id)"""
+SQL["ceiling_by_kind"] = studies.SQL["program_ceiling"].replace("SELECT CASE WHEN len(gold) = 0", "SELECT kind, CASE WHEN len(gold) = 0").replace("FROM m WHERE n = 1 GROUP BY 1", f"FROM m JOIN (SELECT question_id, any_value({v.sql_fold('kg')}) AS kind FROM question_graphs GROUP BY 1) USING (question_id) WHERE n = 1 GROUP BY ALL")
+SQL["adjudication_summary"] = f"""WITH {v.CANDIDATES}, q AS (SELECT example_id, candidate_id, score, score > 1 AS verdict, CASE WHEN (score > 1) <> is_positive THEN 'disagreement' ELSE 'agreement' END AS kind FROM c WHERE score IS NOT NULL AND is_positive IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sha256('17|' || example_id || '|' || candidate_id)) AS n FROM q), pk AS (SELECT *, (score > 1.2) = verdict AS agree FROM r WHERE kind = 'disagreement' OR n <= 50)
+    SELECT count(*) AS adjudicated, count(*) FILTER (agree) AS judges_agree, count(*) FILTER (kind = 'disagreement') AS from_disagreement, 0::BIGINT AS from_unclear, count(*) FILTER (kind = 'agreement') AS from_agreement,
+      (SELECT count(DISTINCT example_id) FROM q) AS sets, count(DISTINCT example_id) FILTER (NOT agree) AS disputed_sets FROM pk"""
+SQL["stratified_by_split"] = f"""WITH {v.EXAMPLES}, q AS (SELECT example_id, regexp_extract(lower(trim(split)), '^(train|dev|test)', 1) AS side, {v.sql_fold('kg')} AS kg, coalesce(len(positive_path.hops), -1) AS hops FROM x WHERE positive_path IS NOT NULL AND kg IS NOT NULL AND split IS NOT NULL),
+    n AS (SELECT side, count(*) AS n, CASE side WHEN 'train' THEN 1 WHEN 'dev' THEN 2 ELSE 3 END AS o FROM q WHERE side <> '' GROUP BY 1), t AS (SELECT sum(n) AS total, least(300, sum(n)) AS target FROM n),
+    q0 AS (SELECT side, n, o, least(n, round_even(target * n / total, 0)) AS quota FROM n, t), gap AS (SELECT (SELECT target FROM t) - sum(quota) AS gap FROM q0),
+    quotas AS (SELECT side, quota + CASE WHEN gap > 0 AND row_number() OVER (ORDER BY n - quota DESC, o) <= gap THEN 1 WHEN gap < 0 AND row_number() OVER (ORDER BY quota DESC, o) <= -gap THEN -1 ELSE 0 END AS quota FROM q0, gap),
+    r AS (SELECT *, row_number() OVER (PARTITION BY side, kg, hops ORDER BY sha256(example_id)) AS rnd FROM q WHERE side <> ''), p AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY rnd, hops, kg) AS place FROM r)
+    SELECT example_id, side, place FROM p JOIN quotas USING (side) WHERE place <= quota"""

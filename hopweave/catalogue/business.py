@@ -46,7 +46,7 @@ def region_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders reached from each region by a three-hop backward chain, counted."""
     t = kg_triples(spark, d).withColumn("question_id", F.lit(""))
     regions = t.where("relation = 'nation.region'").select("question_id", F.col("tail").alias("node")).distinct()
-    got = graph.leaves(graph.edges(t), regions, [("nation.region", "backward"), ("customer.nation", "backward"), ("order.customer", "backward")])
+    got = graph.reach(t, regions, [("nation.region", "backward"), ("customer.nation", "backward"), ("order.customer", "backward")])
     return got.groupBy("anchor").agg(F.count("*").alias("orders"), F.min("node").alias("first_order"))
 
 

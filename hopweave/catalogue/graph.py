@@ -135,19 +135,19 @@ def batched_programs(spark: SparkSession, d: str) -> DataFrame:
 def program_batch_chain(spark: SparkSession, d: str) -> DataFrame:
     """One chain run in every question's graph from its topics."""
     chain = programs.Chain(programs.TOPIC, (("stagework.observatory.first_director", "forward"), ("schooling.settlement.market_court", "backward")))
-    return programs.run_chain(v.triples(spark, d), chain, v.topics(spark, d).withColumnRenamed("node", "topic")).answers
+    return programs.run_chain(v.triples(spark, d), chain, v.topics(spark, d).withColumnRenamed("node", "topic"), unique=True).answers
 
 
 def program_batch_conjunction(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that reach the topic by one relation and something by another, in every graph."""
     p = programs.Conjunctive("?x", (programs.Atom("?x", "stagework.observatory.first_director", "?y"), programs.Atom("?x", "skywatch.railway.terminus", programs.TOPIC)), exclusions=(("?x", programs.TOPIC),))
-    return programs.run_conjunctive(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic")).answers
+    return programs.run_conjunctive(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic"), unique=True).answers
 
 
 def identity_traversals(spark: SparkSession, d: str) -> DataFrame:
     """Questions whose topic has a self-loop by some relation, by way of the executor's identity flag."""
     p = programs.Chain(programs.TOPIC, (("stagework.observatory.first_director", "forward"),))
-    return programs.run_chain(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic")).identity
+    return programs.run_chain(v.triples(spark, d), p, v.topics(spark, d).withColumnRenamed("node", "topic"), unique=True).identity
 
 
 def beam_search(spark: SparkSession, d: str) -> DataFrame:

@@ -61,6 +61,29 @@ def shared_records(hops: Column) -> Column:
     return F.array_compact(F.zip_with(F.slice(facts, F.lit(1), n), F.slice(facts, F.lit(2), n), pair))
 
 
+def represent_query(hops: Column) -> Column:
+    """A path as an explicit query: variables with types, facts, likely record nodes, logical form and answer.
+
+    A path without hops, or with a hop that is null or has no direction, is an error.
+    """
+    sound = (F.size(hops) > 0) & F.forall(hops, lambda h: F.coalesce(h["direction"].isin("forward", "backward"), F.lit(False)))
+    sure = F.when(sound, hops).otherwise(F.raise_error(F.lit("a path without hops or with a hop that has no direction")).cast("array<struct<relation:string,direction:string,source_type:string,target_type:string>>"))
+    kind = lambda c: _or(c, "entity")
+    later = F.transform(sure, lambda h, i: F.struct(F.concat(F.lit("v"), (i + 1).cast("string")).alias("id"), kind(h["target_type"]).alias("type")))
+    variables = F.concat(F.array(F.struct(F.lit("v0").alias("id"), kind(F.get(sure, F.lit(0))["source_type"]).alias("type"))), later)
+    answer = F.element_at(variables, -1)
+    return F.struct(variables.alias("variables"), triples_of(sure).alias("facts"), shared_records(sure).alias("records"), logical_form(sure).alias("form"), answer["id"].alias("answer"), answer["type"].alias("answer_type"))
+
+
+def fact_statement(fact: Column, meaning: Column, template: Column) -> Column:
+    """A fact in its relation's template; a template with other fields gives way to the meaning, a lacking one is empty."""
+    side = lambda n: F.concat(fact[n], F.lit(" (type: "), fact[f"{n}_type"], F.lit(")"))
+    t = F.coalesce(template, F.lit(""))
+    odd = F.replace(F.replace(t, F.lit("{subject}")), F.lit("{object}")).rlike(r"[{}]")
+    plain = F.concat(side("subject"), F.lit(" -- "), F.coalesce(meaning, F.lit("unknown")), F.lit(" --> "), side("object"))
+    return F.when(odd, plain).otherwise(F.replace(F.replace(t, F.lit("{subject}"), side("subject")), F.lit("{object}"), side("object")))
+
+
 def canonical_question(hops: Column, answer_type: Column, style: Column | int = 0) -> Column:
     """A controlled question that states every hop, in one of three wordings."""
     step = F.transform(hops, lambda h: F.concat(F.lit('follow "'), text.relation_words(h["relation"]), F.lit('" '), h["direction"], F.lit(" to a "), _or(h["target_type"], "entity")))

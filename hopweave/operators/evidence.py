@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text
+from ..session import materialize
 from . import graph, ranking
 
 
@@ -88,6 +89,24 @@ def adjudication_picks(judged: DataFrame, keys: list[str], agreements: int, seed
     return j.where("kind <> 'agreement'").unionByName(sample)
 
 
+def apply_adjudication(candidates: DataFrame, picks: DataFrame, second: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Candidates with ``disputed`` and ``set_disputed``, and one row of counts.
+
+    ``picks(*keys, position, verdict, kind)`` were judged again in ``second(*keys, position,
+    verdict)``; a pick without a second judgement is an error. A candidate is disputed where the
+    judges differ (an unclear first verdict differs from any), a set where one of its candidates is.
+    """
+    at = [*keys, "position"]
+    j = picks.join(second.select(*at, F.col("verdict").alias("second")), at, "left")
+    again = F.when(F.col("second").isNotNull(), F.col("second")).otherwise(F.raise_error(F.lit("a pick has no second judgement")).cast("boolean"))
+    j = j.withColumn("agree", again.eqNullSafe(F.col("verdict")))
+    c = candidates.join(j.where("not agree").select(*at, F.lit(True).alias("disputed")), at, "left").withColumn("disputed", F.coalesce("disputed", F.lit(False)))
+    c = c.withColumn("set_disputed", F.max("disputed").over(Window.partitionBy(*keys)))
+    judged = j.agg(F.count("*").alias("adjudicated"), F.count_if("agree").alias("judges_agree"), *[F.count_if(F.col("kind") == k).alias(f"from_{k}") for k in ("disagreement", "unclear", "agreement")])
+    sets = c.select(*keys, "set_disputed").distinct().agg(F.count("*").alias("sets"), F.count_if("set_disputed").alias("disputed_sets"))
+    return c, judged.crossJoin(sets)  # one row each
+
+
 def coverage_reasons(parses: DataFrame, max_hops: int) -> DataFrame:
     """Why questions are left out: ``question_id, kept, reason`` (one row per question and distinct reason).
 
@@ -124,6 +143,11 @@ def program_paths(programs: DataFrame) -> DataFrame:
     return typed.select("id", text.normalize_space("question").alias("question"), F.get(F.get("program", F.lit(0))["inputs"], F.lit(0)).alias("anchor"), hop.alias("hops")).withColumn("answer_type", F.element_at("hops", -1)["target_type"])
 
 
+def ceiling_by_kind(statuses: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Two-level counts: ``kind, status, questions, f1`` from :func:`ceiling` and ``kinds(question_id, kind)``."""
+    return statuses.join(kinds, "question_id").groupBy("kind", "status").agg(F.count("*").alias("questions"), F.avg("f1").alias("f1"))
+
+
 def ceiling(executed: DataFrame, gold: DataFrame) -> DataFrame:
     """Status of executed programs against gold answers: ``question_id, status, f1``.
 
@@ -202,3 +226,70 @@ def generation_metrics(df: DataFrame, keys: list[str], score: str, positive: str
     whole = g.agg(F.count("*").alias("groups"), F.avg((F.col("margin") > 0).cast("double")).alias("beats_all"), F.avg("margin").alias("mean_margin"))
     by = m.groupBy(category).agg(F.count("*").alias("pairs"), F.avg((F.col("_p") > F.col(score)).cast("double")).alias("beaten"))
     return whole, by
+
+
+def compact_queries(paths: DataFrame, glossary: DataFrame, key: str = "example_id") -> DataFrame:
+    """``key, query, unusable``: each path as anchor, required facts in their relations' words, and what is returned.
+
+    ``paths(key, kg, hops)``, ``glossary(relation_key, status, description, fact_template)``.
+    ``unusable`` lists the relations without a semantic entry. A path's facts are gathered again
+    by its key, so nothing larger than a path is in one place.
+    """
+    from ..functions import render
+
+    # used twice below; staged also so that the check of hops is not pushed beneath the caller's filters
+    q = materialize(materialize(paths.select(key, "kg", "hops"), "hops").select(key, "kg", render.represent_query(F.col("hops")).alias("q")), "queries")
+    fact = q.select(key, "kg", F.posexplode("q.facts").alias("place", "fact")).withColumn("relation_key", F.concat_ws("::", "kg", "fact.predicate"))
+    g = glossary.where("relation_key is not null").groupBy("relation_key").agg(F.min_by(F.struct("status", "description", "fact_template"), F.xxhash64("status", "description", "fact_template")).alias("g")).select("relation_key", "g.*")
+    j = fact.join(g.withColumn("known", F.lit(True)), "relation_key", "left")
+    line = F.concat(F.lit("F"), F.col("place").cast("string"), F.lit(": "), render.fact_statement(F.col("fact"), F.col("description"), F.when(F.col("known"), F.col("fact_template"))))
+    bad = F.when(~F.coalesce(F.col("status") == "semantic", F.lit(False)), F.col("fact.predicate"))
+    facts = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line"), bad.alias("bad")))).alias("f"))
+    v0, answer = F.get("q.variables", F.lit(0)), F.col("q")
+    text_of = F.concat_ws("\n", F.concat(F.lit("Anchor: v0 = [ENTITY] (type: "), v0["type"], F.lit(")")), F.lit("Required facts:"), F.array_join(F.transform("f", lambda x: x["line"]), "\n"), F.concat(F.lit("Return: "), answer["answer"], F.lit(" (type: "), answer["answer_type"], F.lit(")")))
+    return q.join(facts, key).select(key, text_of.alias("query"), F.array_compact(F.transform("f", lambda x: x["bad"])).alias("unusable"))
+
+
+def annotated_paths(questions: DataFrame, types: DataFrame) -> DataFrame:
+    """Typed paths of annotated parses: ``id, question, anchor, hops, answer_type``.
+
+    ``questions(QuestionId, RawQuestion, Parses array<struct<...>>)`` with the fields read below;
+    ``types(question_id, node, type)`` of the questions' graphs. A parse counts with a chain of
+    one to three relations, complete, without constraints, time or order, and where its query
+    text leads along the chain to the answer. Types of topic and answers come from the graph,
+    else from the relation read forward.
+    """
+    from pyspark.sql.types import ArrayType, StringType
+
+    from ..plans.programs import recover_route
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def directions(sparql, topic, chain):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        def one(s: str | None, t: str | None, c: list | None) -> list[str] | None:
+            route = recover_route(s or "", t or "", list(c)) if c is not None and len(c) else None
+            return [d for _, d in route] if route else None
+
+        return pd.Series([one(s, t, c) for s, t, c in zip(sparql, topic, chain, strict=True)])
+
+    p = questions.select("QuestionId", "RawQuestion", F.posexplode("Parses").alias("n", "p")).select("QuestionId", "RawQuestion", "n", "p.*")
+    chain = F.coalesce("InferentialChain", F.array().cast("array<string>"))
+    whole = F.size(chain).between(1, 3) & ~F.coalesce(F.col("AnnotatorComment.ParseQuality") == "Incomplete", F.lit(False)) & (F.coalesce(F.size("Constraints"), F.lit(0)) <= 0) & F.col("Time").isNull() & F.col("Order").isNull()
+    p = p.where(whole).withColumn("ways", directions("Sparql", "TopicEntityMid", "InferentialChain")).where("ways is not null")
+    topic = F.coalesce(F.when(F.col("TopicEntityName") != "", F.col("TopicEntityName")), F.when(F.col("PotentialTopicEntityMention") != "", F.col("PotentialTopicEntityMention")), F.lit("ENTITY_0"))
+    p = p.select(F.concat_ws(":", F.lit("webqsp"), "QuestionId", "n").alias("id"), "QuestionId", text.normalize_space("RawQuestion").alias("question"), topic.alias("anchor"), F.arrays_zip(F.col("InferentialChain").alias("relation"), F.col("ways").alias("direction")).alias("steps"), F.coalesce(F.transform("Answers", lambda a: a["EntityName"]), F.array().cast("array<string>")).alias("names"))
+    sets = types.groupBy(F.col("question_id").alias("QuestionId"), "node").agg(F.collect_set("type").alias("t"))
+    named = p.select("id", "QuestionId", F.explode(F.array_union(F.array("anchor"), "names")).alias("node")).join(sets, ["QuestionId", "node"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("node", "t"))).alias("of"))
+    j = p.join(named, "id", "left")
+    kinds = lambda nodes: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(nodes, lambda x: F.coalesce(F.try_element_at("of", x), F.array().cast("array<string>")))))), " / ")
+    given = lambda c, other: F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(other)
+    source = lambda r: F.when(F.size(F.split(r, r"\.")) >= 2, F.replace(F.array_join(F.slice(F.split(r, r"\."), 1, 2), " "), F.lit("_"), F.lit(" "))).otherwise("entity")
+    first, n = F.get("steps", F.lit(0)), F.size("steps")
+    start = given(kinds(F.array("anchor")), F.when(first["direction"] == "forward", source(first["relation"])).otherwise("entity"))
+    end = given(kinds(F.col("names")), F.lit("answer entity"))
+    follows = lambda i: F.get("steps", i + 1)
+    target = lambda i: F.when(i == n - 1, F.col("_end")).when(follows(i)["direction"] == "forward", source(follows(i)["relation"])).otherwise("intermediate entity")
+    j = j.withColumn("_start", start).withColumn("_end", end).withColumn("_targets", F.transform("steps", lambda s, i: target(i)))
+    hops = F.transform("steps", lambda s, i: F.struct(s["relation"].alias("relation"), s["direction"].alias("direction"), F.when(i == 0, F.col("_start")).otherwise(F.get("_targets", i - 1)).alias("source_type"), F.get("_targets", i).alias("target_type")))
+    return j.select("id", "question", "anchor", hops.alias("hops"), F.col("_end").alias("answer_type"))

@@ -55,6 +55,16 @@ def leaves(edge: DataFrame, anchors: DataFrame, hops: list[tuple[str, str]]) ->
     return front
 
 
+def reach(triples: DataFrame, anchors: DataFrame, hops: list[tuple[str, str]]) -> DataFrame:
+    """:func:`leaves` straight from triples: each hop reads its relation in its direction only."""
+    front = anchors.select("question_id", F.col("node").alias("anchor"), "node").distinct()
+    for relation, direction in hops:
+        src, dst = ("head", "tail") if direction == "forward" else ("tail", "head")
+        e = triples.where(F.col("relation") == relation).select("question_id", F.col(src).alias("node"), F.col(dst).alias("dst")).where("node is not null and dst is not null")
+        front = front.join(e, ["question_id", "node"]).select("question_id", "anchor", F.col("dst").alias("node")).distinct()
+    return front
+
+
 def simple_paths(edge: DataFrame, anchors: DataFrame, max_hops: int = 2) -> DataFrame:
     """All paths without a repeated node: ``question_id, anchor, sequence, nodes``."""
     start = anchors.select("question_id", F.col("node").alias("anchor"), F.array().cast("array<string>").alias("sequence"), F.array("node").alias("nodes"), F.col("node").alias("src")).distinct()

@@ -41,10 +41,14 @@ def argmax(df: DataFrame, keys: list[str], score: Column, position: str, answers
 
 
 def fractional_ranks(df: DataFrame, keys: list[str], score: str, out: str = "rank") -> DataFrame:
-    """Descending ranks; equal scores share their mean rank."""
+    """Descending ranks; scores no more than ``TOLERANCE`` below the next higher one share its run's mean rank."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, score))
-    return df.withColumn(out, (F.rank().over(w) + (n - 1) / 2).cast("double"))
+    above = F.lag(score).over(w)
+    starts = F.when(above.isNotNull() & F.col(score).isNotNull() & (above - F.col(score) <= TOLERANCE), 0).when(F.row_number().over(w) > 1, F.when(above.isNull() & F.col(score).isNull(), 0).otherwise(1)).otherwise(1)
+    run = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = df.withColumn("_start", starts).withColumn("_run", run).withColumn("_row", F.row_number().over(w))
+    mine = Window.partitionBy(*keys, "_run")
+    return r.withColumn(out, ((F.min("_row").over(mine) + F.max("_row").over(mine)) / 2).cast("double")).drop("_start", "_run", "_row")
 
 
 def group_ranking(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
@@ -149,6 +153,35 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[Column], quota: in
     return kept.withColumn("place", F.col("before") + F.row_number().over(w)).where(F.col("place") <= quota).drop("before")
 
 
+def split_quotas(sizes: dict[str, int], target: int) -> dict[str, int]:
+    """Shares of ``target`` in proportion to the sizes, rounded, then repaired to add up.
+
+    One at a time goes to the split with most rows left over, or is taken from the largest quota;
+    of equals the first in the order given.
+    """
+    total = sum(sizes.values())
+    target = min(target, total)
+    quota = {s: min(n, round(target * n / total)) if total else 0 for s, n in sizes.items()}
+    while sum(quota.values()) < target:
+        quota[max(sizes, key=lambda s: sizes[s] - quota[s])] += 1
+    while sum(quota.values()) > target:
+        quota[max(quota, key=lambda s: quota[s])] -= 1
+    return quota
+
+
+def stratified_selection(df: DataFrame, split: str, splits: list[str], bucket: list[str], order: list[Column], target: int) -> DataFrame:
+    """``target`` rows over the splits in proportion to their sizes, in turn from the buckets of each split."""
+    found = {r[split]: r["count"] for r in df.where(F.col(split).isin(splits)).groupBy(split).count().collect()}
+    quota = split_quotas({s: found.get(s, 0) for s in splits}, target)
+    parts = [round_robin(df.where(F.col(split) == s), bucket, order, n) for s, n in quota.items() if n]
+    if not parts:
+        return round_robin(df.limit(0), bucket, order, 1)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def exact_sample(df: DataFrame, keys: list[str], n: int, seed: str = "17") -> DataFrame:
     """Exactly ``n`` distinct key rows (or all), the first in hash order, without a global sort.
 

@@ -139,12 +139,14 @@ def _questions(triples: DataFrame, t: DataFrame) -> DataFrame:
     return triples.sparkSession.range(1, numPartitions=1).select(F.lit("").alias("question_id"))
 
 
-def run_conjunctive(triples: DataFrame, program: Conjunctive, topics: DataFrame | None = None) -> Execution:
+def run_conjunctive(triples: DataFrame, program: Conjunctive, topics: DataFrame | None = None, unique: bool = False) -> Execution:
     """Answers, bindings and identity flag of a program.
 
     ``topics(question_id, topic)`` gives the meaning of ``$topic``. ``answers`` has
     ``question_id[, topic], answer``. ``identity`` lists the questions in which some step
-    bound both ends of an atom to one node, including in bindings dropped later.
+    bound both ends of an atom to one node, including in bindings dropped later. ``unique``
+    promises triples without repeats: then no step can repeat a binding and none is shuffled
+    to find out.
     """
     t = _clean(triples)
     # every question starts with one empty binding (one for each topic where topics are given)
@@ -174,7 +176,7 @@ def run_conjunctive(triples: DataFrame, program: Conjunctive, topics: DataFrame
             b = b.withColumn(_name(new), F.col(new_side)).drop("q", "h", "o")
             columns.append(_name(new))
             loop = term(known) == F.col(_name(new))
-        b = b.select(*columns).distinct()
+        b = b.select(*columns) if unique else b.select(*columns).distinct()
         identity = identity.unionByName(b.where(loop).select("question_id"))
     for left, right in program.exclusions:
         b = b.where(~term(left).eqNullSafe(term(right)))
@@ -200,10 +202,10 @@ def _optional(b: DataFrame, t: DataFrame, source: Column, relation: str, operato
     return j.where(F.coalesce("ok", F.lit(optional))).drop("q", "h", "ok")
 
 
-def run_chain(triples: DataFrame, program: Chain, topics: DataFrame | None = None) -> Execution:
+def run_chain(triples: DataFrame, program: Chain, topics: DataFrame | None = None, unique: bool = False) -> Execution:
     """Answers of a chain: hops, then constraints, then order and slice, then the last node.
 
-    The topic is dropped from the answers only after the slice.
+    The topic is dropped from the answers only after the slice. ``unique`` as for conjunctive programs.
     """
     t = _clean(triples)
     start = _questions(triples, t).withColumn("n0", F.lit(program.topic)) if topics is None else topics.select("question_id", F.col("topic").alias("n0")).distinct()
@@ -213,7 +215,8 @@ def run_chain(triples: DataFrame, program: Chain, topics: DataFrame | None = Non
         src, dst = ("head", "tail") if direction == "forward" else ("tail", "head")
         e = t.where(F.col("relation") == relation).select("question_id", F.col(src).alias(f"n{k}"), F.col(dst).alias(f"n{k + 1}"))
         columns.append(f"n{k + 1}")
-        b = b.join(e, ["question_id", f"n{k}"]).select(*columns).distinct()
+        b = b.join(e, ["question_id", f"n{k}"]).select(*columns)
+        b = b if unique else b.distinct()
         identity = identity.unionByName(b.where(F.col(f"n{k}") == F.col(f"n{k + 1}")).select("question_id"))
     last = len(program.hops)
     for c in program.constraints:

@@ -34,6 +34,32 @@ def read_keyed_document(spark: SparkSession, path: str, rows: str | None, key: s
     return doc.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_row.*")
 
 
+GLOSSARY = "struct<status:string,description:string,subject_role:string,object_role:string,fact_template:string,confidence:double>"
+
+
+def read_glossary(spark: SparkSession, path: str | None) -> DataFrame:
+    """``relation_key`` with its entry from one JSON object of entries; no path gives an empty glossary.
+
+    A missing file and a document that is no object are errors.
+    """
+    fields = "status string, description string, subject_role string, object_role string, fact_template string, confidence double"
+    if path is None:
+        return spark.createDataFrame([], f"relation_key string, {fields}")
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{GLOSSARY}>").alias("m"), F.ltrim("value").startswith("{").alias("object"))
+    sure = F.when(F.col("object") & F.col("m").isNotNull(), F.col("m")).otherwise(F.raise_error(F.lit("the glossary is no JSON object")).cast(f"map<string,{GLOSSARY}>"))
+    return doc.select(F.explode(sure).alias("relation_key", "e")).select("relation_key", "e.*")
+
+
+def read_benchmark(spark: SparkSession, paths: list[str], schema: str | T.StructType, order: str = "example_id") -> DataFrame:
+    """Rows of several JSON lines files as one benchmark, sorted by id."""
+    out = read_jsonl(spark, paths[0], schema)
+    for p in paths[1:]:
+        out = out.unionByName(read_jsonl(spark, p, schema))
+    return out.orderBy(order)
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """Dictionary of a file of names, one a line: ``code, name`` from 0.
 

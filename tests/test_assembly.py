@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.operators import assembly, graph, pilot, requests, retrieval, runs
+from hopweave.operators import assembly, evidence, graph, pilot, ranking, requests, retrieval, runs
+from hopweave.sources import files
 
 T = "question_id string, head string, relation string, tail string"
 HOPS = "struct<hops array<struct<relation string, direction string>>>"
@@ -141,3 +142,65 @@ def test_requests_and_results(spark):
     assert [r["reason"] for r in bad.orderBy("line_no").collect()] == ["no_items", "no_content", "no_id", "no_id", "error"]
     judged = spark.createDataFrame([("a", True), ("b", None)], "id string, ok boolean")
     assert [r["id"] for r in requests.accepted(good, judged, F.col("ok")).collect()] == ["a"]
+
+
+def test_quotas_are_repaired():
+    assert ranking.split_quotas({"train": 5, "dev": 5}, 5) == {"train": 3, "dev": 2}
+    assert ranking.split_quotas({"a": 3, "b": 3, "c": 3}, 4) == {"a": 2, "b": 1, "c": 1}
+    assert ranking.split_quotas({"a": 2}, 9) == {"a": 2} and ranking.split_quotas({}, 3) == {} and ranking.split_quotas({"a": 0}, 3) == {"a": 0}
+
+
+def test_adjudication(spark):
+    c = spark.createDataFrame([("g", 0, True), ("g", 1, False), ("h", 0, True)], "k string, position int, is_positive boolean")
+    picks = spark.createDataFrame([("g", 0, True, "agreement"), ("g", 1, None, "unclear")], "k string, position int, verdict boolean, kind string")
+    second = spark.createDataFrame([("g", 0, True), ("g", 1, False)], "k string, position int, verdict boolean")
+    rows, counts = evidence.apply_adjudication(c, picks, second, ["k"])
+    assert {(r["k"], r["position"]): (r["disputed"], r["set_disputed"]) for r in rows.collect()} == {("g", 0): (False, True), ("g", 1): (True, True), ("h", 0): (False, False)}
+    assert counts.first().asDict() == {"adjudicated": 2, "judges_agree": 1, "from_disagreement": 0, "from_unclear": 1, "from_agreement": 1, "sets": 2, "disputed_sets": 1}
+    with pytest.raises(Exception, match="second judgement"):
+        evidence.apply_adjudication(c, picks, second.limit(1), ["k"])[1].collect()
+
+
+def test_compact_queries(spark):
+    hop = lambda r, d: (r, d, "town", "person")
+    paths = spark.createDataFrame([("e", "k", [hop("mayor", "forward"), hop("boat", "backward"), hop("odd", "forward")])], "example_id string, kg string, hops array<struct<relation string, direction string, source_type string, target_type string>>")
+    g = spark.createDataFrame([("k::mayor", "semantic", "x", "{subject} has mayor {object}"), ("k::odd", "opaque", "means", "{subject} {other}")], "relation_key string, status string, description string, fact_template string")
+    r = evidence.compact_queries(paths, g).first()
+    assert r["query"].split("\n") == [
+        "Anchor: v0 = [ENTITY] (type: town)", "Required facts:", "F0: v0 (type: town) has mayor v1 (type: person)", "F1: ", "F2: v2 (type: town) -- means --> v3 (type: person)", "Return: v3 (type: person)",
+    ]
+    assert r["unusable"] == ["boat", "odd"]
+    with pytest.raises(Exception, match="direction"):
+        evidence.compact_queries(paths.withColumn("hops", F.array().cast(paths.schema["hops"].dataType)), g).collect()
+
+
+def test_annotated_paths(spark):
+    parse = "struct<TopicEntityMid string, TopicEntityName string, PotentialTopicEntityMention string, InferentialChain array<string>, Sparql string, AnnotatorComment struct<ParseQuality string>, Constraints array<string>, Time string, `Order` string, Answers array<struct<EntityName string>>>"
+    sparql = "ns:m.1 ns:location.country.capital ?y .\n?x ns:people.person.born_in ?y ."
+    chain = ["location.country.capital", "people.person.born_in"]
+    base = {"a": "m.1", "b": "Land", "c": None, "d": chain, "e": sparql, "f": ("Complete",), "g": None, "h": None, "i": None, "j": [("Ann",), ("Bob",)]}
+    row = lambda **k: tuple((base | k).values())
+    parses = [row(), row(f=("Incomplete",)), row(g=["c"]), row(d=None), row(d=["x"] * 4), row(e="nothing"), row(b="", c="the land", j=None)]
+    q = spark.createDataFrame([("W1", " who  was born ", parses), ("W2", "q", None)], f"QuestionId string, RawQuestion string, Parses array<{parse}>")
+    types = spark.createDataFrame([("W1", "Ann", "Person"), ("W1", "Bob", "Artist"), ("W1", "Land", "Country"), ("W9", "Ann", "No")], "question_id string, node string, type string")
+    got = {r["id"]: r for r in evidence.annotated_paths(q, types).collect()}
+    assert set(got) == {"webqsp:W1:0", "webqsp:W1:6"}
+    a = got["webqsp:W1:0"]
+    assert (a["question"], a["anchor"], a["answer_type"]) == ("who was born", "Land", "Artist / Person")
+    assert [tuple(h) for h in a["hops"]] == [("location.country.capital", "forward", "Country", "intermediate entity"), ("people.person.born_in", "backward", "intermediate entity", "Artist / Person")]
+    b = got["webqsp:W1:6"]
+    assert (b["anchor"], b["answer_type"], b["hops"][0]["source_type"]) == ("the land", "answer entity", "location country")
+
+
+def test_glossary_and_benchmark_files(spark, tmp_path):
+    assert files.read_glossary(spark, None).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_glossary(spark, str(tmp_path / "none.json"))
+    (tmp_path / "g.json").write_text('{"k::r": {"status": "semantic", "confidence": 0.5}}')
+    assert files.read_glossary(spark, str(tmp_path / "g.json")).select("relation_key", "status", "confidence").collect() == [("k::r", "semantic", 0.5)]
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(Exception, match="object"):
+        files.read_glossary(spark, str(tmp_path / "l.json")).collect()
+    for n, ids in (("a", ["e3", "e1"]), ("b", ["e2"])):
+        (tmp_path / f"{n}.jsonl").write_text("\n".join(json.dumps({"example_id": i}) for i in ids))
+    assert [r[0] for r in files.read_benchmark(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")], "example_id string").collect()] == ["e1", "e2", "e3"]

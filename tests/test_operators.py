@@ -285,3 +285,9 @@ def test_nearest_against_brute_force(spark):
         got = similarity.cosine_topk(df, q, 4, part_rows=size, block_queries=3).collect()
         assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
     assert similarity.cosine_topk(df.limit(0), q, 4).count() == 0 == similarity.cosine_topk(df, q.limit(0), 4).count()
+
+
+def test_fractional_ranks_share_near_ties(spark):
+    rows = [("g", 1.0), ("g", 1.0 - 5e-13), ("g", 0.5), ("g", 0.5), ("g", 0.5 - 1e-9), ("g", None), ("g", None), ("h", 2.0)]
+    got = sorted((r["k"], r["rank"]) for r in ranking.fractional_ranks(spark.createDataFrame(rows, "k string, s double"), ["k"], "s").collect())
+    assert got == [("g", 1.5), ("g", 1.5), ("g", 3.5), ("g", 3.5), ("g", 5.0), ("g", 6.5), ("g", 6.5), ("h", 1.0)]
