@@ -67,7 +67,7 @@ def _step(forward: Column, node: Column, other: Column) -> Column:
 
 
 def _line(forward: Column, node: Column, other: Column) -> Column:
-    by = F.concat(F.lit(" --["), _relation_text(F.col("relation")), F.lit("]--> "))
+    by = F.concat(F.lit(" --["), "relation_text", F.lit("]--> "))
     return F.when(forward, F.concat(node, by, other)).otherwise(F.concat(other, by, node))
 
 
@@ -90,16 +90,18 @@ def search_programs(graphs: DataFrame, scorer: Scorer | None = None, beam: int =
     asked = materialize(graphs.select("question_id", "question", F.array_distinct(text.tokens(F.coalesce("question", F.lit("")))).alias("words"), F.array_distinct(F.filter(F.coalesce("topic_entities", F.array().cast("array<string>")), lambda t: F.coalesce(t != "", F.lit(False)))).alias("topics"), "triples"), "asked")
     t = asked.select("question_id", F.explode("triples").alias("x")).select("question_id", "x.*").where("head is not null and relation is not null and tail is not null").distinct()
     both = F.array(F.struct(F.col("head").alias("node"), F.lit(True).alias("forward"), F.col("tail").alias("other")), F.struct(F.col("tail").alias("node"), F.lit(False).alias("forward"), F.col("head").alias("other")))
-    step = materialize(t.select("question_id", "relation", F.explode(both).alias("e")).select("question_id", "e.node", "relation", "e.forward", "e.other", F.array_distinct(text.tokens(_relation_text(F.col("relation")))).alias("own_words")), "steps")
-    topics = asked.select("question_id", F.posexplode("topics").alias("place", "topic")).select("question_id", "topic", F.concat(F.lit("ANCHOR_"), (F.col("place") + 1).cast("string")).alias("anchor"))
+    # texts and words of relations are made once for each relation, not for each program
+    named = t.select("relation").distinct().withColumn("relation_text", _relation_text(F.col("relation"))).withColumn("own_words", F.array_distinct(text.tokens("relation_text")))
+    step = materialize(t.join(named, "relation").select("question_id", "relation", "relation_text", "own_words", F.explode(both).alias("e")).select("question_id", "e.node", "relation", "e.forward", "e.other", F.col("relation_text"), F.col("own_words")), "steps")
+    topics = asked.select("question_id", F.posexplode("topics").alias("place", "topic")).select("question_id", "topic", (F.col("place") + 1).cast("string").alias("number")).select("*", F.concat(F.lit("ANCHOR_"), "number").alias("anchor"))
     forward, variable = F.col("forward"), F.lit("?x")
     own_words = F.col("own_words")
-    name_words = lambda *names: F.flatten(F.array(*[text.tokens(n) for n in names]))
+    topic_words = lambda: F.array(F.lit("anchor"), F.col("number"))
 
-    begun = topics.withColumnRenamed("topic", "node").join(step, ["question_id", "node"]).groupBy("question_id", "node", "anchor", "relation", "forward").agg(F.collect_set("other").alias("nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words")).where("not loop")
+    begun = topics.withColumnRenamed("topic", "node").join(step, ["question_id", "node"]).groupBy("question_id", "node", "anchor", "number", "relation", "relation_text", "forward").agg(F.collect_set("other").alias("nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words")).where("not loop")
     first = begun.join(asked.select("question_id", "question", "words"), "question_id").select(
         "question_id", "question", "words", F.array(_step(forward, F.col("node"), variable)).alias("atoms"), variable.alias("select"), "nodes",
-        F.array(_line(forward, F.col("anchor"), variable)).alias("lines"), F.array_distinct(F.concat(own_words, name_words(F.col("anchor"), variable))).alias("line_words"), own_words.alias("relation_words"),
+        F.array(_line(forward, F.col("anchor"), variable)).alias("lines"), F.array_distinct(F.concat(own_words, topic_words(), F.array(F.lit("x")))).alias("line_words"), own_words.alias("relation_words"),
     )
     first = _ranked(first.withColumn("relevance", _relevance()), ["question_id"], [F.desc("relevance"), F.col("atoms")], "place", cap)
     scored = _scored(first.withColumn("finished", F.lit(False)), scorer).withColumn("scored", F.count("*").over(Window.partitionBy("question_id")).cast("int"))
@@ -108,23 +110,24 @@ def search_programs(graphs: DataFrame, scorer: Scorer | None = None, beam: int =
     for level in range(2, max_hops + 1):
         done.append(front.where((F.col("scored") >= cap) & (F.col("rank") == 1)).withColumn("finished", F.lit(False)))
         going = front.where(F.col("scored") < cap)
-        met = going.select("question_id", "rank", F.explode("nodes").alias("node")).join(step, ["question_id", "node"])
-        grown = met.groupBy("question_id", "rank", "relation", "forward").agg(F.collect_set("other").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words"))
-        tied = met.join(topics.withColumnRenamed("topic", "other"), ["question_id", "other"]).groupBy("question_id", "rank", "relation", "forward", "other", "anchor").agg(F.collect_set("node").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.max(F.col("other") != F.col("node")).alias("open"), F.first("own_words").alias("own_words")).where("open").drop("open")
+        # laid out by question once: the groups, ranks and counts below all lie inside a question
+        met = going.select("question_id", "rank", F.explode("nodes").alias("node")).join(step, ["question_id", "node"]).repartition("question_id")
+        grown = met.groupBy("question_id", "rank", "relation", "relation_text", "forward").agg(F.collect_set("other").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.first("own_words").alias("own_words"))
+        tied = met.join(topics.withColumnRenamed("topic", "other"), ["question_id", "other"]).groupBy("question_id", "rank", "relation", "relation_text", "forward", "other", "anchor", "number").agg(F.collect_set("node").alias("new_nodes"), F.max(F.col("other") == F.col("node")).alias("loop"), F.max(F.col("other") != F.col("node")).alias("open"), F.first("own_words").alias("own_words")).where("open").drop("open")
         null = F.lit(None).cast("string")
-        options = grown.withColumn("other", null).withColumn("anchor", null).unionByName(tied)
+        options = grown.withColumn("other", null).withColumn("anchor", null).withColumn("number", null).unionByName(tied)
         is_tie = F.col("other").isNotNull()
         named = F.concat(F.lit("?v"), (F.size("atoms") + 1).cast("string"))
         # programs of one parent differ in their last step only, so that is what the order needs
         ext = going.select("question_id", "rank", "words", "atoms", "select", "relation_words").join(options, ["question_id", "rank"]).withColumn("atom", _step(forward, F.col("select"), F.coalesce("other", named)))
         ext = ext.where(~is_tie | ~F.array_contains("atoms", F.col("atom"))).withColumn("relation_words", F.array_distinct(F.concat("relation_words", own_words)))
-        ext = ext.select("question_id", "rank", "relation", "forward", "other", "anchor", "atom", "loop", "new_nodes", "own_words", _relevance().alias("relevance"))
+        ext = ext.select("question_id", "rank", "relation", "forward", "relation_text", "other", "anchor", "number", "atom", "loop", "new_nodes", "own_words", _relevance().alias("relevance"))
         ext = _ranked(ext, ["question_id", "rank"], [F.desc("relevance"), F.col("atom"), is_tie.desc()], "place", per_state).where("not loop").drop("relevance", "loop")
         ext = going.drop("nodes", "score").join(ext, ["question_id", "rank"]).select(
             "question_id", "question", "words", "rank", "scored", "rounds", "place",
             F.array_append("atoms", F.col("atom")).alias("atoms"), F.when(is_tie, F.col("select")).otherwise(named).alias("select"), F.col("new_nodes").alias("nodes"),
             F.array_append("lines", _line(forward, F.col("select"), F.coalesce("anchor", named))).alias("lines"),
-            F.array_distinct(F.concat("line_words", own_words, name_words(F.col("select"), F.coalesce("anchor", named)))).alias("line_words"), F.array_distinct(F.concat("relation_words", own_words)).alias("relation_words"),
+            F.array_distinct(F.concat("line_words", own_words, F.array(F.expr("substring(select, 2)")), F.when(is_tie, topic_words()).otherwise(F.array(F.expr("concat('v', size(atoms) + 1)"))))).alias("line_words"), F.array_distinct(F.concat("relation_words", own_words)).alias("relation_words"),
         )
         keep = [*_STATE, "rank", "scored", "rounds", "place"]
         both_kinds = going.withColumn("place", F.lit(0)).select(*keep, F.lit(True).alias("finished")).unionByName(ext.select(*keep, F.lit(False).alias("finished")))
