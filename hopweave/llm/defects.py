@@ -356,9 +356,9 @@ def find_defects(pairs: DataFrame, profile: Profile | None = None, like_prompt:
     opened = materialize(sound.where("opened").join(judged, "form").select(*keys, "mark", "caseless", "n_chars", "finished", "goes_on", "ends"), "opened")
     limits = length_limits(opened.where("not finished and not ends")).withColumn("limit", F.lit(True))
     evidence = (
-        F.when(F.col("mark"), "mark")
+        F.when(~F.col("finished") & ((F.col("goes_on") != " ") | (~F.col("ends") & (F.col("goes_on") == " "))), "neighbour")
+        .when(F.col("mark"), "mark")
         .when(F.col("finished"), None)
-        .when((F.col("goes_on") != " ") | (~F.col("ends") & (F.col("goes_on") == " ")), "neighbour")
         .when(F.col("limit"), "limit")
         .when(~F.col("ends") & ~F.col("caseless"), "ending")
     )
