@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 TRIPLE = "struct<head:string,relation:string,tail:string>"
 
 
@@ -161,25 +163,85 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join([f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}", *(f"| {' | '.join(map(cell, r))} |" for r in rows)])
 
 
+def _fill(sizes: list[int], cap: int, chunk: int, used: int) -> tuple[list[int], int, int]:
+    """Chunk of each item in sequence, and the state after the last."""
+    out = []
+    for n in sizes:
+        if used and used + n > cap:
+            chunk, used = chunk + 1, 0
+        used += n
+        out.append(chunk)
+    return out, chunk, used
+
+
+def _ways_through(sizes: list[int], cap: int) -> list[tuple[int, int, int]]:
+    """What a part does to the state it is entered with: ``(least used, more chunks, used after)`` by falling ``least used``.
+
+    Entered with ``used``, the first row whose ``least used`` is not above it applies. The last
+    row stands for no new chunk at all, its ``used after`` being the part's sum to add.
+    """
+    import numpy as np
+
+    n = len(sizes)
+    s = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    more, after = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n - 1, -1, -1):  # a chunk that starts at item i
+        j = max(int(np.searchsorted(s[1:], s[i] + cap, side="right")), i + 1)
+        if j < n and s[j] == s[i]:  # an empty chunk takes any item
+            j += 1
+        more[i], after[i] = (0, int(s[n] - s[i])) if j >= n else (1 + more[j], after[j])
+    rows = [(0, more[0] if n else 0, after[0] if n else 0)]  # entered empty: as a chunk that starts here
+    best = cap + 2
+    for i in range(n):
+        least = max(1, int(cap - s[i + 1] + 1))
+        if least < best:
+            rows.append((least, 1 + more[i], after[i]))
+            best = least
+        if least == 1:
+            break
+    return rows + [(-1, 0, int(s[n]))]
+
+
 def pack_chunks(requests: DataFrame, size: str, order: str, cap: int) -> DataFrame:
-    """Numbers chunks of requests in order so that each stays within ``cap``: adds ``chunk``.
+    """Numbers chunks of requests in order so that each stays within ``cap``: adds ``chunk`` (an item above it has one to itself).
 
-    First-fit in sequence depends on all that came before, so it runs where the rows are
-    sorted, in one task per ``shard`` if that column exists, else in one.
+    Filling in sequence depends on all that came before, so it goes in three steps: the rows are
+    range-sorted into parts; each part tells what it does to the fill it is entered with (at most
+    one row per item of a chunk's worth), the driver walks the parts; each part is numbered
+    from its own start. Equal ``order`` values keep no set order. With a ``shard`` column every
+    shard is a sequence by itself.
     """
     import pandas as pd
 
-    keys = ["shard"] if "shard" in requests.columns else []
+    schema = T.StructType([*requests.schema.fields, T.StructField("chunk", T.IntegerType())])
+    if "shard" in requests.columns:
+
+        def alone(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values(order, kind="stable")
+            return p.assign(chunk=_fill(p[size].fillna(0).astype(int).tolist(), cap, 0, 0)[0])
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return requests.groupBy("shard").applyInPandas(alone, schema)
+    spark = requests.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(requests.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "placed")
+
+    def ways(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order, kind="stable")
+        return pd.DataFrame(_ways_through(p[size].fillna(0).astype(int).tolist(), cap), columns=["least", "more", "after"]).assign(_part=int(p["_part"].iloc[0]))
+
+    through: dict[int, list[tuple[int, int, int]]] = {}
+    for r in placed.select(order, size, "_part").groupBy("_part").applyInPandas(ways, "least long, more long, after long, _part int").collect():
+        through.setdefault(r["_part"], []).append((r["least"], r["more"], r["after"]))
+    chunk, used, starts = 0, 0, []
+    for n in sorted(through):
+        starts.append((n, chunk, used))
+        least, more, after = (0, *next(x for x in through[n] if x[0] == 0)[1:]) if used == 0 else max(x for x in through[n] if x[0] != 0 and x[0] <= used)
+        chunk, used = chunk + more, used + after if least == -1 else after
+    begun = placed.join(F.broadcast(spark.createDataFrame(starts, "_part int, _chunk long, _used long")), "_part")
+
+    def number(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order, kind="stable")
-        chunk, used, out = 0, 0, []
-        for n in p[size]:
-            if used and used + n > cap:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
-        return p.assign(chunk=out)
+        got, _, _ = _fill(p[size].fillna(0).astype(int).tolist(), cap, int(p["_chunk"].iloc[0]), int(p["_used"].iloc[0]))
+        return p.assign(chunk=got)[schema.fieldNames()]
 
-    schema = T.StructType([*requests.schema.fields, T.StructField("chunk", T.IntegerType())])
-    return (requests.groupBy(*keys) if keys else requests.groupBy()).applyInPandas(run, schema)
+    return begun.groupBy("_part").applyInPandas(number, schema)

@@ -68,3 +68,21 @@ def test_resume_batch_and_stream(spark, tmp_path):
         if k == 0:
             put(src / "y.jsonl", [{"id": "c", "v": "3"}, {"id": "d", "v": "4"}])
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
+
+
+def test_chunks_over_parts_are_those_of_one_sequence(spark):
+    import random
+
+    rnd = random.Random(9)
+    for cap, sizes in ((10, [rnd.choice([0, 0, 1, 2, 3, 7, 15]) for _ in range(300)]), (25, [rnd.randint(1, 9) for _ in range(200)]), (5, [0, 0, 9, 0, 9, 0]), (1000, [1] * 50)):
+        rows = [(i, n, "clash") for i, n in enumerate(sizes)]
+        got = files.pack_chunks(spark.createDataFrame(rows, "i long, n long, _c string"), "n", "i", cap)
+        assert [r["chunk"] for r in got.orderBy("i").collect()] == files._fill(sizes, cap, 0, 0)[0]
+    assert files.pack_chunks(spark.createDataFrame([], "i long, n long"), "n", "i", 5).count() == 0
+    for _ in range(300):
+        sizes, cap = [rnd.choice([0, 1, 2, 5, 12]) for _ in range(rnd.randint(1, 9))], rnd.randint(1, 12)
+        ways = files._ways_through(sizes, cap)
+        for used in range(0, 2 * cap):
+            _, chunk, after = files._fill(sizes, cap, 0, used)
+            w = next(x for x in ways if x[0] == 0) if used == 0 else max(x for x in ways if x[0] != 0 and x[0] <= used)
+            assert (w[1], w[2] + used if w[0] == -1 else w[2]) == (chunk, after)
