@@ -12,9 +12,11 @@ ALIKE = str.maketrans({k: v for k, v in _ALIKE.items() if ord(k) > 0x2FF and k n
 # Letters that do not decompose.
 _PLAIN = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i"})
 
-_BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|blockquote|pre)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
-_LINK = re.compile(r"!?\[([^\[\]]{0,300})\]\([^()\s]{0,300}\)")
+# what stands in a tag: attributes of any length, or anything short
+_INSIDE = r"(?:(?:\s+[^\s=<>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?|[^<>]{0,200})>"
+_BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|blockquote|pre)\b" + _INSIDE, re.I)
+_TAG = re.compile(r"</?(?:[a-zA-Z][a-zA-Z0-9:-]*" + _INSIDE + r"|[a-zA-Z!][^<>]{0,200}>)")
+_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n[\s>|*]*(?=[^\W\d_])")
 # marks that combine with a letter, and characters without width
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\xad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]+")

@@ -16,6 +16,8 @@ def prose(rnd, n):
 def test_plain_words():
     assert normal.words("CafÃ© <b>the</b> Groory-\n> fane it’s &nbsp;R&#233;né ​x [by](#n) thе １５") == ["cafe", "the", "grooryfane", "its", "rene", "x", "by", "the", "15"]
     assert normal.words("AT THE&NBSP;CLOSE OF &#205;LVO &Nbsp; R&EACUTE;N &nosuch;") == ["at", "the", "close", "of", "ilvo", "ren", "nosuch"]
+    long = "u" * 5000
+    assert normal.words(f'a <img src="{long}" alt=\'x > y\'/>b [c {long}](http://{long}) <p class="{long}">d</p> 1 <2 e > 3') == ["a", "b", "c", long, "d", "1", "2", "e", "3"]
     assert normal.words(None) == [] == normal.words("  … ")
 
 
