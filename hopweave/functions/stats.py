@@ -57,8 +57,12 @@ def holm(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, left_rank: str, right_rank: str, keys: list[str]) -> DataFrame:
-    """Correlation of given ranks per group; 0 where a side does not vary."""
-    c = F.corr(left_rank, right_rank)
+    """Correlation of given ranks per group; 0 where a side does not vary.
+
+    Not ``corr``: in ANSI mode that divides by zero, and ends the query, where one side does not vary.
+    """
+    x, y = (F.when(F.col(left_rank).isNotNull() & F.col(right_rank).isNotNull(), F.col(c)) for c in (left_rank, right_rank))
+    c = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
     return df.groupBy(*keys).agg(F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c).alias("spearman"))
 
 

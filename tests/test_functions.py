@@ -109,6 +109,12 @@ def test_exact_test_and_holm(spark):
     assert got == {"x": 0.03, "z": 0.06, "y": 0.06}
 
 
+def test_spearman_where_a_side_does_not_vary(spark):
+    rows = [("flat", 1.5, 1.0), ("flat", 1.5, 2.0), ("flats", 2.0, 2.0), ("flats", 2.0, 2.0), ("one", 1.0, 1.0), ("null", None, 1.0), ("null", 2.0, 1.0), ("up", 1.0, 1.0), ("up", 2.0, 2.0), ("down", 1.0, 3.0), ("down", 2.0, 2.0), ("down", 3.0, 1.0), ("some", 1.0, 1.0), ("some", 2.0, 3.0), ("some", 3.0, 2.0)]
+    got = {r["k"]: round(r["spearman"], 9) for r in stats.spearman(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", ["k"]).collect()}
+    assert got == {"flat": 0.0, "flats": 0.0, "one": 0.0, "null": 0.0, "up": 1.0, "down": -1.0, "some": 0.5}
+
+
 def test_auc_against_all_pairs(spark):
     rnd = random.Random(2)
     rows = [(float(rnd.randint(0, 6)), rnd.random() < 0.4) for _ in range(80)] + [(None, True), (1.0, None)]
