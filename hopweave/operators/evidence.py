@@ -37,19 +37,23 @@ def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame) ->
     """Reducible candidates per label population, and picks that match gold exactly or only once reduced.
 
     ``candidates(question_id, candidate_index, sequence, score, annotated, denotation)``; only
-    questions with one topic count. Gold sequences are those of annotated candidates.
+    questions with one topic count. Gold sequences are those of annotated candidates. The sides
+    of all joins grow with the questions: they are merged, never broadcast, whatever their files weigh.
     """
     single = topics.groupBy("question_id").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).where("n = 1").select("question_id", "anchor")
-    c = candidates.join(single, "question_id")
+    c = materialize(candidates.join(single.hint("merge"), "question_id"), "audited")
     p = c.select("question_id", F.col("candidate_index").cast("string").alias("path_id"), "anchor", "sequence")
     r = graph.strict_reduce(edge, p).select("question_id", F.col("path_id").cast("int").alias("candidate_index"), F.array_join("reduced", "|").alias("reduced"), F.array_join("sequence", "|").alias("whole"))
-    j = c.drop("sequence").join(r, ["question_id", "candidate_index"])
+    j = c.drop("sequence").join(r.hint("merge"), ["question_id", "candidate_index"])
     member = F.array_compact(F.array(F.lit("all"), F.when(F.col("annotated"), "annotated_positive"), F.when(F.col("denotation"), "denotation_positive"), F.when(F.col("denotation") & ~F.col("annotated"), "denotation_only_positive")))
     populations = j.select(F.explode(member).alias("population"), (F.col("reduced") != F.col("whole")).alias("reducible")).groupBy("population").agg(F.count("*").alias("n"), F.count_if("reducible").alias("reducible"))
-    gold = j.where("annotated").groupBy("question_id").agg(F.collect_set("whole").alias("gold"), F.collect_set("reduced").alias("gold_reduced"))
-    picks = ranking.keep_first(j, ["question_id"], [F.col("score").desc_nulls_last(), F.col("candidate_index")]).join(gold, "question_id", "left")
+    # the pick and the gold sequences of a question meet in one grouping, so the audit is not run twice and joined
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc_nulls_last(), F.col("candidate_index")))
+    own = lambda a: F.collect_set(F.when(F.col("annotated"), F.col(a)))
+    pick = F.max(F.when(F.col("n") == 1, F.struct("whole", "reduced")))
+    picks = j.withColumn("n", place).groupBy("question_id").agg(pick.alias("pick"), own("whole").alias("gold"), own("reduced").alias("gold_reduced"))
     hit = lambda a, b: F.coalesce(F.array_contains(a, F.col(b)), F.lit(False))
-    match = picks.select(hit("gold", "whole").alias("exact"), hit("gold_reduced", "reduced").alias("collapsed")).agg(F.count("*").alias("questions"), F.count_if("exact").alias("exact"), F.count_if("collapsed").alias("collapsed"), F.count_if(F.col("exact") != F.col("collapsed")).alias("flips"))
+    match = picks.select(hit("gold", "pick.whole").alias("exact"), hit("gold_reduced", "pick.reduced").alias("collapsed")).agg(F.count("*").alias("questions"), F.count_if("exact").alias("exact"), F.count_if("collapsed").alias("collapsed"), F.count_if(F.col("exact") != F.col("collapsed")).alias("flips"))
     return populations, match
 
 

@@ -98,14 +98,15 @@ def frontiers(edge: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
     ``paths(question_id, path_id, anchor, sequence)`` (keys ``relation::direction``) gives
     ``question_id, path_id, step, node, src``; step 0 is the anchor. ``longest`` is the length of
     the longest sequence, as :func:`stage_paths` gives it. The frontier is written out every
-    fourth hop, so long sequences do not make a deep plan.
+    fourth hop, so long sequences do not make a deep plan. Paths and edges both grow with the
+    questions, so they are merged: packed files and shuffles look small enough to broadcast and are not.
     """
     step = edge.select("question_id", "src", text.directed("relation", "direction").alias("key"), "dst")
     front = paths.select("question_id", "path_id", "sequence", F.col("anchor").alias("node"))
     out = front.select("question_id", "path_id", F.lit(0).alias("step"), "node", F.lit(None).cast("string").alias("src"))
     for k in range(longest):
         now = front.where(F.size("sequence") > k).select("question_id", "path_id", "sequence", F.col("node").alias("src"), F.get("sequence", F.lit(k)).alias("key"))
-        reached = now.join(step, ["question_id", "src", "key"])
+        reached = now.join(step.hint("merge"), ["question_id", "src", "key"])
         if k % 4 == 3:
             reached = materialize(reached, "reached")
         out = out.unionByName(reached.select("question_id", "path_id", F.lit(k + 1).alias("step"), F.col("dst").alias("node"), "src"))
@@ -140,7 +141,7 @@ def strict_reduce(edge: DataFrame, paths: DataFrame) -> DataFrame:
     f = frontiers(edge, paths, longest)
     sets = f.groupBy("question_id", "path_id", "step").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     by = sets.groupBy("question_id", "path_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "nodes"))).alias("front"))
-    joined = paths.join(by, ["question_id", "path_id"], "left")
+    joined = paths.join(by.hint("merge"), ["question_id", "path_id"], "left")
     empty = F.array().cast("array<string>")
     at = lambda i: F.coalesce(F.try_element_at("front", i), empty)
     kept = F.filter("sequence", lambda _, i: (F.size(at(i + 1)) == 0) | (F.array_join(at(i + 1), "\u0001") != F.array_join(at(i), "\u0001")))

@@ -103,3 +103,29 @@ def test_comparator_split_has_one_dev_group(spark):
     rows = [(f"g{i}", j, j == 0, float(j)) for i in range(4) for j in range(3)]
     got = evidence.comparator_corpus(spark.createDataFrame(rows, "k string, i int, pos boolean, s double"), ["k"], "s", "pos", "i").collect()
     assert len({r["k"] for r in got if r["split"] == "dev"}) == 1 and len(got) == 12
+
+
+def _plans(spark, run):
+    """Physical plans of everything that ``run`` executes, with the rows it gives."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    rows = run().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = store.executionsList()
+    return rows, [new.apply(i).physicalPlanDescription() for i in range(before, new.size())]
+
+
+def _graphs(spark, folder):
+    """Three questions: one topic with a walk to gold and one back, one without gold among its walks, one of two topics."""
+    t = [("a", "r.s", "b"), ("b", "r.t", "c"), ("a", "r.s", "b"), ("d", "R.t", "a")]
+    rows = [("q1", ["a"], ["c"], t), ("q2", ["a", None, "a"], ["z"], [*t[:2], None]), ("q3", ["a", "b"], ["c"], t), ("q4", ["a"], None, t), ("q5", None, ["c"], None)]
+    spark.createDataFrame(rows, "question_id string, topic_entities array<string>, gold_answers array<string>, triples array<struct<head string, relation string, tail string>>").write.parquet(f"{folder}/question_graphs.parquet")
+    return f"file://{folder}"
+
+
+def test_identity_path_match_broadcasts_nothing(spark, tmp_path):
+    from hopweave.catalogue import studies
+
+    rows, plans = _plans(spark, lambda d=_graphs(spark, tmp_path): studies.identity_path_match(spark, d))
+    assert [tuple(r) for r in rows] == [(2, 1, 1, 0)]
+    assert plans and not any("Broadcast" in p for p in plans)
