@@ -129,3 +129,11 @@ def test_identity_path_match_broadcasts_nothing(spark, tmp_path):
     rows, plans = _plans(spark, lambda d=_graphs(spark, tmp_path): studies.identity_path_match(spark, d))
     assert [tuple(r) for r in rows] == [(2, 1, 1, 0)]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_identity_populations_broadcast_nothing(spark, tmp_path):
+    from hopweave.catalogue import studies
+
+    rows, plans = _plans(spark, lambda d=_graphs(spark, tmp_path): studies.identity_populations(spark, d))
+    assert {r["population"]: (r["n"], r["reducible"]) for r in rows} == {"all": (5, 0), "annotated_positive": (1, 0), "denotation_positive": (1, 0)}
+    assert plans and not any("Broadcast" in p for p in plans)
