@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..operators import evidence, graph, organize, ranking, reader
-from ..session import materialize
 from . import building, metrics
 from . import graph as graph_queries
 from . import views as v
@@ -66,36 +65,25 @@ def program_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return evidence.ceiling(x, g).groupBy("status").agg(F.count("*").alias("questions"), _DONE(F.avg("f1")).alias("f1"))
 
 
-def _walks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All two-hop walks of a question as candidates, labelled by whether they end in its gold answers.
+def _walks(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with all their two-hop walks as candidates, labelled by whether they end in the gold answers.
 
     The audit leaves out questions of several topics, so their walks are not made.
     """
-    e = materialize(graph.edges(v.triples(spark, d)), "edges")
-    one_topic = v.topics(spark, d).groupBy("question_id").agg(F.count("*").alias("n"), F.min("node").alias("src")).where("n = 1").select("question_id", "src")
-    g = v.gold(spark, d).groupBy("question_id").agg(F.array_sort(F.collect_set("node")).alias("gold"))
-    # every side grows with the questions, so none is broadcast, however small its packed files are
-    one = e.join(one_topic.hint("merge"), ["question_id", "src"]).select("question_id", F.col("src").alias("anchor"), F.concat_ws("::", "relation", "direction").alias("k1"), F.col("dst").alias("src"))
-    two = one.hint("merge").join(e, ["question_id", "src"]).select("question_id", "anchor", F.array("k1", F.concat_ws("::", "relation", "direction")).alias("sequence"), "dst")
-    w = two.groupBy("question_id", "anchor", "sequence").agg(F.array_sort(F.collect_set("dst")).alias("answers"))
-    c = w.join(g.hint("merge"), "question_id").withColumn("denotation", _JOIN("answers") == _JOIN("gold"))
+    q = v.questions(spark, d).where("size(topics) = 1 and size(gold) > 0")
+    q = q.select("question_id", F.get("topics", F.lit(0)).alias("anchor"), graph.own_edges(F.col("triples")).alias("edges"), "gold")
+    walks = graph.two_hops(F.col("edges"), F.col("anchor"), lambda s, a: F.struct((a != F.col("gold")).alias("missed"), _JOIN(s).alias("name"), s.alias("sequence")))
     # the first walk that ends in the gold answers stands for the annotated one
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("question_id").orderBy(F.col("denotation").desc(), "anchor", _JOIN("sequence"))
-    n = F.row_number().over(order)
-    c = c.withColumn("n", n).withColumn("annotated", (F.col("n") == 1) & F.col("denotation"))
-    return e, c.select("question_id", F.col("n").alias("candidate_index"), "sequence", (-F.col("n")).cast("double").alias("score"), "annotated", "denotation")
+    label = lambda w, i: F.struct((i + 1).alias("candidate_index"), w["sequence"].alias("sequence"), (-(i + 1)).cast("double").alias("score"), ((i == 0) & ~w["missed"]).alias("annotated"), (~w["missed"]).alias("denotation"))
+    return q.select("question_id", "anchor", "edges", F.transform(F.sort_array(walks), label).alias("candidates"))
 
 
 def identity_populations(spark: SparkSession, d: str) -> DataFrame:
-    e, c = _walks(spark, d)
-    return evidence.identity_audit(e, c, v.topics(spark, d))[0]
+    return evidence.identity_audit(_walks(spark, d))[0]
 
 
 def identity_path_match(spark: SparkSession, d: str) -> DataFrame:
-    e, c = _walks(spark, d)
-    return evidence.identity_audit(e, c, v.topics(spark, d))[1]
+    return evidence.identity_audit(_walks(spark, d))[1]
 
 
 def comparator_corpus(spark: SparkSession, d: str) -> DataFrame:

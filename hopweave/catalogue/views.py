@@ -43,6 +43,19 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "question_graphs").select("question_id", F.explode("gold_answers").alias("node")).where("node is not null").distinct()
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """One row per question with what :func:`triples`, :func:`topics` and :func:`gold` have of it, in arrays.
+
+    The rows are shuffled whole, once. A triple that a question repeats stays repeated; topics and gold answers do not.
+    """
+    q = table(spark, d, "question_graphs").where("question_id is not null")
+    whole = F.filter("triples", lambda t: t["head"].isNotNull() & t["relation"].isNotNull() & t["tail"].isNotNull())
+    q = q.select("question_id", F.transform(whole, lambda t: F.struct(t["head"].alias("head"), fold(t["relation"]).alias("relation"), t["tail"].alias("tail"))).alias("triples"), "topic_entities", "gold_answers")
+    own = lambda c: F.flatten(F.collect_set(c))
+    nodes = lambda c: F.sort_array(F.array_distinct(F.array_compact(own(c))))
+    return q.groupBy("question_id").agg(own("triples").alias("triples"), nodes("topic_entities").alias("topics"), nodes("gold_answers").alias("gold"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Distinct candidates; a missing retrieval score is 0, other nulls stay."""
     return one_each(table(spark, d, "candidates"), "candidate_id")

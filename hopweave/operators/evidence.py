@@ -33,18 +33,16 @@ def rebuild_paths(edge: DataFrame, candidates: DataFrame, anchors: DataFrame) ->
     return ranking.keep_first(j, ["question_id", "candidate_index"], [F.col("position")]).select("question_id", "candidate_index", "anchor", "answers", "facts")
 
 
-def identity_audit(edge: DataFrame, candidates: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+def identity_audit(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reducible candidates per label population, and picks that match gold exactly or only once reduced.
 
-    ``candidates(question_id, candidate_index, sequence, score, annotated, denotation)``; only
-    questions with one topic count. Gold sequences are those of annotated candidates. The sides
-    of all joins grow with the questions: they are merged, never broadcast, whatever their files weigh.
+    ``questions(question_id, anchor, edges array<struct<src, key, dst>>, candidates
+    array<struct<candidate_index, sequence, score, annotated, denotation>>)``, one row for each
+    question with one topic. Gold sequences are those of annotated candidates. A row has all that
+    its candidates need, so nothing is joined and no walk is shuffled.
     """
-    single = topics.groupBy("question_id").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).where("n = 1").select("question_id", "anchor")
-    c = materialize(candidates.join(single.hint("merge"), "question_id"), "audited")
-    p = c.select("question_id", F.col("candidate_index").cast("string").alias("path_id"), "anchor", "sequence")
-    r = graph.strict_reduce(edge, p).select("question_id", F.col("path_id").cast("int").alias("candidate_index"), F.array_join("reduced", "|").alias("reduced"), F.array_join("sequence", "|").alias("whole"))
-    j = c.drop("sequence").join(r.hint("merge"), ["question_id", "candidate_index"])
+    audit = lambda e: F.transform("candidates", lambda c: F.struct(c["candidate_index"].alias("candidate_index"), c["score"].alias("score"), c["annotated"].alias("annotated"), c["denotation"].alias("denotation"), c["sequence"].alias("whole"), graph.reduced(e, F.col("anchor"), c["sequence"]).alias("reduced")))
+    j = questions.select("question_id", F.explode(text.let(F.col("edges"), audit)).alias("c")).select("question_id", "c.*")
     member = F.array_compact(F.array(F.lit("all"), F.when(F.col("annotated"), "annotated_positive"), F.when(F.col("denotation"), "denotation_positive"), F.when(F.col("denotation") & ~F.col("annotated"), "denotation_only_positive")))
     populations = j.select(F.explode(member).alias("population"), (F.col("reduced") != F.col("whole")).alias("reducible")).groupBy("population").agg(F.count("*").alias("n"), F.count_if("reducible").alias("reducible"))
     # the pick and the gold sequences of a question meet in one grouping, so the audit is not run twice and joined

@@ -148,6 +148,43 @@ def strict_reduce(edge: DataFrame, paths: DataFrame) -> DataFrame:
     return joined.select("question_id", "path_id", "anchor", "sequence", kept.alias("reduced"))
 
 
+def own_edges(triples: Column) -> Column:
+    """Both directions of one question's triples, ``array<struct<src, key, dst>>``."""
+    way = lambda t, s, d, name: F.struct(t[s].alias("src"), text.directed(t["relation"], F.lit(name)).alias("key"), t[d].alias("dst"))
+    return F.flatten(F.transform(triples, lambda t: F.array(way(t, "head", "tail", "forward"), way(t, "tail", "head", "backward"))))
+
+
+def ends(edge: Column) -> Column:
+    """The sorted set of nodes that ``array<struct<src, key, dst>>`` leads to."""
+    return F.sort_array(F.array_distinct(F.transform(edge, lambda e: e["dst"])))
+
+
+def two_hops(edge: Column, anchor: Column, row) -> Column:  # noqa: ANN001
+    """``row(sequence, answers)`` of each two-hop sequence from the anchor, over the edges of one question's row."""
+    keys = lambda a: F.array_distinct(F.transform(a, lambda e: e["key"]))
+    at = lambda a, k: F.filter(a, lambda e: e["key"] == k)
+
+    def second(e: Column, one: Column, k1: Column) -> Column:
+        beyond = text.let(ends(at(one, k1)), lambda front: F.filter(e, lambda x: F.array_contains(front, x["src"])))
+        return text.let(beyond, lambda two: F.transform(keys(two), lambda k2: row(F.array(k1, k2), ends(at(two, k2)))))
+
+    def first(e: Column) -> Column:
+        return text.let(F.filter(e, lambda x: x["src"] == anchor), lambda one: F.flatten(F.transform(keys(one), lambda k1: second(e, one, k1))))
+
+    return text.let(edge, first)
+
+
+def reduced(edge: Column, anchor: Column, sequence: Column) -> Column:
+    """:func:`strict_reduce` of a sequence over the edges of one question's row; ``edge`` is bound by the caller."""
+
+    def step(state: Column, key: Column) -> Column:
+        there = ends(F.filter(edge, lambda e: (e["key"] == key) & F.array_contains(state["front"], e["src"])))
+        kept = lambda now: F.when((F.size(now) > 0) & (now == state["front"]), state["kept"]).otherwise(F.array_append(state["kept"], key))
+        return text.let(there, lambda now: F.struct(now.alias("front"), kept(now).alias("kept")))
+
+    return F.aggregate(sequence, F.struct(F.array(anchor).alias("front"), F.array().cast("array<string>").alias("kept")), step)["kept"]
+
+
 def dominant_type(counts: DataFrame, keys: list[str], hint: Column | None = None) -> DataFrame:
     """One type per key from ``(*keys, type, n)``: the most frequent, a tie broken by ``hint``, else ``entity``.
 

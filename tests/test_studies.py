@@ -137,3 +137,61 @@ def test_identity_populations_broadcast_nothing(spark, tmp_path):
     rows, plans = _plans(spark, lambda d=_graphs(spark, tmp_path): studies.identity_populations(spark, d))
     assert {r["population"]: (r["n"], r["reducible"]) for r in rows} == {"all": (5, 0), "annotated_positive": (1, 0), "denotation_positive": (1, 0)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_identity_populations_need_one_row_a_question(spark, tmp_path):
+    """Nothing is joined or staged, and a question's rows are shuffled once."""
+    from hopweave.catalogue import studies
+
+    _, plans = _plans(spark, lambda d=_graphs(spark, tmp_path): studies.identity_populations(spark, d))
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert plans[0].split("== Initial Plan ==")[-1].split("\n\n")[0].count("Exchange") == 2
+
+
+def test_identity_populations_against_plain_sets(spark, tmp_path):
+    """Random graphs of few nodes, with loops, repeated rows and triples, and names that hold the separator."""
+    import random
+
+    from hopweave.catalogue import studies
+
+    rng, nodes, rows = random.Random(7), ["a", "b", "c", "a|b", "b|c"], []
+    for q in range(200):
+        t = [(rng.choice(nodes), rng.choice(["r.s", " NS:R.s", "r.t"]), rng.choice(nodes)) for _ in range(rng.randint(1, 8))]
+        gold = rng.choice([["b|c"], ["b", "c"], ["a", "b"], ["a|b", None], ["a"], [], None])
+        rows.append((f"q{q}", rng.choice([["a"], ["a"], ["a|b"], ["a", "b"], [None]]), gold, [*t, None, t[0], (None, "r.s", "b")]))
+        rows += [rows[-1]] * (q % 3 == 0) + [(f"q{q}", None, None, [("a", "r.u", "c")])] * (q % 4 == 0)
+    spark.createDataFrame(rows, "question_id string, topic_entities array<string>, gold_answers array<string>, triples array<struct<head string, relation string, tail string>>").write.parquet(f"{tmp_path}/question_graphs.parquet")
+    edges, topics, gold = ({r[0]: set() for r in rows} for _ in range(3))
+    for q, a, g, t in rows:
+        topics[q] |= {x for x in a or [] if x}
+        gold[q] |= {x for x in g or [] if x}
+        for h, r, x in filter(None, t):
+            if h:
+                r = r.strip().lower().removeprefix("ns:")
+                edges[q] |= {(h, f"{r}::forward", x), (x, f"{r}::backward", h)}
+    counts = {}
+    for q, e in edges.items():
+        if len(topics[q]) != 1 or not gold[q]:
+            continue
+        step = lambda front, k, e=e: {y for x, key, y in e if key == k and x in front}
+        walks = []
+        for k1 in {k for _, k, _ in e}:
+            for k2 in {k for _, k, _ in e}:
+                if s2 := step(s1 := step(topics[q], k1), k2):
+                    walks.append((s2 != gold[q], f"{k1}|{k2}", s1 == topics[q] or s2 == s1))
+        for n, (missed, _, reducible) in enumerate(sorted(walks)):
+            for name in ["all"] + ["denotation_positive", "annotated_positive" if n == 0 else "denotation_only_positive"] * (not missed):
+                was = counts.get(name, (0, 0))
+                counts[name] = (was[0] + 1, was[1] + reducible)
+    got = {r["population"]: (r["n"], r["reducible"]) for r in studies.identity_populations(spark, f"file://{tmp_path}").collect()}
+    assert got == counts and len(counts) == 4 and all(0 < r < n for n, r in counts.values())
+
+
+def test_reduction_in_a_row_is_strict_reduce(spark):
+    triples = spark.createDataFrame([("q", "a", "r", "a"), ("q", "a", "s", "b"), ("q", "b", "s", "a"), ("q", "b", "t", "c")], "question_id string, head string, relation string, tail string")
+    keys = ["r::forward", "s::forward", "s::backward", "t::forward"]
+    paths = spark.createDataFrame([("q", f"{x}{y}{z}", "a", [x, y, z]) for x in keys for y in keys for z in keys] + [("q", "none", "a", [])], "question_id string, path_id string, anchor string, sequence array<string>")
+    slow = {r["path_id"]: r["reduced"] for r in graph.strict_reduce(graph.edges(triples), paths).collect()}
+    own = triples.groupBy("question_id").agg(F.collect_list(F.struct("head", "relation", "tail")).alias("t")).select(graph.own_edges(F.col("t")).alias("e"))
+    fast = {r["path_id"]: r["reduced"] for r in paths.crossJoin(own).select("path_id", graph.reduced(F.col("e"), F.col("anchor"), F.col("sequence")).alias("reduced")).collect()}
+    assert fast == slow and len({tuple(x) for x in fast.values()}) > 5
